@@ -22,6 +22,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_whole")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from granary.llm.byte_bpe import bpe_encode
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return bpe_encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.language_id import predict_languages
 
@@ -37,7 +46,7 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op9_language_id, op10_lossless_webp)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op9_language_id, op10_lossless_webp)}
 
 ORACLES: dict[str, str] = {}
 
