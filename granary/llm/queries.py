@@ -31,6 +31,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(common.documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.language_id import predict_languages
 
@@ -46,9 +52,14 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op9_language_id, op10_lossless_webp)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op7_exact_dedup, op9_language_id, op10_lossless_webp)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": """
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g""",
+}
 
 
 def queries() -> dict:
