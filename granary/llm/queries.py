@@ -22,6 +22,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_whole")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.secret_scan import BASE, KINDS, listed, scan_secrets
+
+    found = scan_secrets(common.documents(spark, sf_dir))
+    own = F.filter("found", lambda s: s["kind"] < len(BASE))
+
+    def count(kind: int):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(BASE))]
+    return found.select("doc_id", *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +65,7 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_byte_bpe, op7_exact_dedup, op9_language_id, op10_lossless_webp)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_byte_bpe, op7_exact_dedup, op9_language_id, op10_lossless_webp)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
