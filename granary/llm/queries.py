@@ -35,6 +35,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(own), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.line_dedup import line_dedup
+
+    done = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"), added=True)
+    return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +72,7 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_byte_bpe, op7_exact_dedup, op9_language_id, op10_lossless_webp)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op7_exact_dedup, op9_language_id, op10_lossless_webp)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
