@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from granary.llm import common
 
 #: Entries of each table of known words; and words of one recursive query.
-KEPT, STEP = 250_000, 20_000
+KEPT, STEP = 400_000, 20_000
+#: Words up to this length stay known when a table is full: they are the frequent ones, and there aren't many.
+SHORT, MANY = 7, 150_000
 #: A position takes this many bits of a merge's sort key.
 POSITION_BITS = 20
 #: Longer words (in bytes) are merged with a queue: recursion would need a round for each merge.
@@ -158,10 +160,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids (decimal, joined by commas) and decoded bytes of each text."""
         ids, raw, spaced_ids, spaced_bytes = self.ids, self.bytes, self.spaced_ids, self.spaced_bytes
-        for known in (ids, spaced_ids):
+        for known, also in ((ids, raw), (spaced_ids, spaced_bytes)):
             if len(known) > KEPT:
-                known.clear()
-                (raw if known is ids else spaced_bytes).clear()
+                short = [w for w in known if len(w) <= SHORT]
+                stay = short if len(short) <= MANY else []
+                for x in (known, also):
+                    held = [(w, x[w]) for w in stay]
+                    x.clear()
+                    x.update(held)
         split = [self.parts(t) for t in texts]
         new = {p for parts, cut in split if cut for p in parts[1:]}.difference(spaced_ids)
         #: The words of each new piece, with the space that it had lost.

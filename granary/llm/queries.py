@@ -57,6 +57,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.documents(spark, sf_dir))
 
 
+def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of all pages in which each 97th page has one character changed."""
+    from granary.llm.warc import fixity_audit, page_records
+
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damage = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substring("html", 2, 1 << 30)))
+    return fixity_audit(page_records(pages), page_records(pages, damage)).withColumnRenamed("id", "page_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.language_id import predict_languages
 
@@ -72,9 +81,20 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op7_exact_dedup, op9_language_id, op10_lossless_webp)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op7_exact_dedup, op8_warc_fixity, op9_language_id, op10_lossless_webp)}
 
 ORACLES: dict[str, str] = {
+    "op8_warc_fixity": """
+        WITH r AS (
+          SELECT page_id, page_id // 1000 AS file, html,
+                 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                 || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR)
+                 || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+          FROM pages),
+        s AS (SELECT page_id, file, html, octet_length(encode(record)) AS length, sha256(record) AS sha FROM r)
+        SELECT page_id, file, row_number() OVER w - 1 AS seq, CAST(sum(length) OVER w - length AS BIGINT) AS "offset", length, sha,
+               page_id % 97 = 5 AND NOT starts_with(html, '#') AS corrupt
+        FROM s WINDOW w AS (PARTITION BY file ORDER BY page_id, sha ROWS UNBOUNDED PRECEDING)""",
     "op7_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
         g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
