@@ -51,6 +51,26 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+#: Domains of the labelled table, and the shares of tokens that they are mixed to.
+TARGETS = {"clean": 0.95, "junk": 0.04, "toxic": 0.01}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text and domain of the documents that the labelled table has: toxic, else junk (quality 0) or clean."""
+    labels = common.table(spark, sf_dir, "labels")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    rows = labels.select("doc_id", domain.alias("domain")).dropna()
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return docs.join(common.checked_broadcast(rows, rows.count()), "doc_id").select("text", "domain")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.mixing import mix
+
+    docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
+    return mix(docs, labelled_domains(spark, sf_dir), TARGETS).select("doc_id", "source", "tokens", "domain", "posterior", "rate")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.exact_dedup import exact_dedup
 
@@ -81,7 +101,7 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op7_exact_dedup, op8_warc_fixity, op9_language_id, op10_lossless_webp)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op6_mixing, op7_exact_dedup, op8_warc_fixity, op9_language_id, op10_lossless_webp)}
 
 ORACLES: dict[str, str] = {
     "op8_warc_fixity": """
