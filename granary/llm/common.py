@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -107,3 +108,41 @@ def map_arrow(df: DataFrame, run, added: str, keep: bool = True) -> DataFrame:
     plain.names = names
     out = inner.mapInArrow(renamed, plain)
     return out.toDF(*schema.names)
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Batches of that many rows for the jobs run inside."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def same(a, b):
+    """Equality that holds for two nulls."""
+    return a.eqNullSafe(b)
+
+
+def components(nodes: DataFrame, edges: DataFrame, label: str = "label") -> DataFrame:
+    """nodes (id) with the smallest id reachable by edges (a, b).
+
+    Labels spread along edges and jump to their own label's label, so the
+    rounds grow with the logarithm of a chain's length. Each round is a
+    table in the shared folder. Edges' ends must be among the nodes.
+    """
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("u", "v"), "edges")
+    if both.isEmpty():
+        return nodes.select("id", F.col("id").alias(label))
+    ends = both.select(F.col("u").alias("id")).distinct()
+    now = materialize(ends.select("id", F.col("id").alias("l")), "labels")
+    while True:
+        near = both.join(now.select(F.col("id").alias("v"), "l"), "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m"))
+        spread = now.join(near, "id").select("id", F.least("l", "m").alias("l"), F.col("l").alias("was"))
+        spread = materialize(spread, "labels")
+        jump = spread.select(F.col("id").alias("l"), F.col("l").alias("ll"))
+        after = materialize(spread.join(jump, "l").select("id", F.col("ll").alias("l"), (F.col("ll") != F.col("was")).alias("moved")), "labels")
+        now = after.select("id", "l")
+        if after.where("moved").isEmpty():
+            return nodes.select("id").join(now, "id", "left").select("id", F.coalesce("l", "id").alias(label))

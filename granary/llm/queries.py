@@ -22,6 +22,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "n_whole")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.ngram_join import ngram_join
+
+    return ngram_join(common.documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.secret_scan import BASE, KINDS, listed, scan_secrets
 
@@ -101,7 +107,7 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(common.documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op6_mixing, op7_exact_dedup, op8_warc_fixity, op9_language_id, op10_lossless_webp)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op6_mixing, op7_exact_dedup, op8_warc_fixity, op9_language_id, op10_lossless_webp)}
 
 ORACLES: dict[str, str] = {
     "op8_warc_fixity": """
