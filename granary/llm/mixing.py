@@ -210,6 +210,6 @@ def take(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Equal keys have equal luck. Columns stay, rate too; a null rate counts as 0.
     """
-    luck = (F.xxhash64(F.lit("mix"), F.col(key)).cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("double") / F.lit(2.0**64)
+    luck = F.pmod(F.xxhash64(F.lit("mix"), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     times = (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return df.select("*", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("_copy")).drop("_copy")
