@@ -1,0 +1 @@
+"""A batch analytics engine on PySpark: tables, operators, functions and plans."""

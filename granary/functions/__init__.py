@@ -1,0 +1 @@
+"""Scalar and aggregate functions by name."""

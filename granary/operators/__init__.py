@@ -1,0 +1 @@
+"""Relational operators on DataFrames."""

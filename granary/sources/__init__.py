@@ -1,0 +1 @@
+"""Tables: definitions, readers and derived tables."""
