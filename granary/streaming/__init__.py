@@ -1,0 +1 @@
+"""Nothing streams here: sources are bounded, and every plan is a batch."""
