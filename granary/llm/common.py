@@ -46,13 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
     Cuts the lineage: later jobs survive lost executors without computing
     df again. The table goes when the session's Python process ends.
+    narrow: rows of a few numbers are written by an eighth as many tasks as a shuffle has partitions.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
@@ -84,6 +87,18 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def release() -> None:
+    """Give memory that isn't used back to the machine: idle workers count in an executor's share."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, added: str, keep: bool = True) -> DataFrame:
     """mapInArrow with df's columns (if kept) and then those in `added`.
 
@@ -101,6 +116,7 @@ def map_arrow(df: DataFrame, run, added: str, keep: bool = True) -> DataFrame:
     def renamed(batches):
         for b in run(batches):
             yield pa.RecordBatch.from_arrays(b.columns, names=names)
+        release()
 
     plain = StructType.fromJson(schema.jsonValue())
     for f, n in zip(plain.fields, names, strict=True):
@@ -132,17 +148,13 @@ def components(nodes: DataFrame, edges: DataFrame, label: str = "label") -> Data
     rounds grow with the logarithm of a chain's length. Each round is a
     table in the shared folder. Edges' ends must be among the nodes.
     """
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("u", "v"), "edges")
-    if both.isEmpty():
-        return nodes.select("id", F.col("id").alias(label))
-    ends = both.select(F.col("u").alias("id")).distinct()
-    now = materialize(ends.select("id", F.col("id").alias("l")), "labels")
-    while True:
-        near = both.join(now.select(F.col("id").alias("v"), "l"), "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("m"))
-        spread = now.join(near, "id").select("id", F.least("l", "m").alias("l"), F.col("l").alias("was"))
-        spread = materialize(spread, "labels")
-        jump = spread.select(F.col("id").alias("l"), F.col("l").alias("ll"))
-        after = materialize(spread.join(jump, "l").select("id", F.col("ll").alias("l"), (F.col("ll") != F.col("was")).alias("moved")), "labels")
-        now = after.select("id", "l")
-        if after.where("moved").isEmpty():
-            return nodes.select("id").join(now, "id", "left").select("id", F.coalesce("l", "id").alias(label))
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("u", "v"), "edges", narrow=True)
+    # At first a row's label is the least of itself and its neighbours.
+    now = materialize(both.groupBy(F.col("u").alias("id")).agg(F.least("u", F.min("v")).alias("l"), F.lit(True).alias("moved")), "labels", narrow=True)
+    while not now.where("moved").isEmpty():
+        old = now.select("id", "l")
+        near = both.join(old.toDF("v", "m"), "v").groupBy(F.col("u").alias("id")).agg(F.min("m").alias("m"))
+        spread = old.join(near, "id").select("id", F.least("l", "m").alias("s"), F.col("l").alias("was"))
+        jump = spread.join(old.toDF("s", "j"), "s").select("id", F.least("s", "j").alias("l"), "was")
+        now = materialize(jump.select("id", "l", (F.col("l") != F.col("was")).alias("moved")), "labels", narrow=True)
+    return nodes.select("id").join(now.select("id", "l"), "id", "left").select("id", F.coalesce("l", "id").alias(label))

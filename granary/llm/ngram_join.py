@@ -12,12 +12,13 @@ gives most of the bounds that keep the product small:
   the one whose entries end first can gain n - p beyond its p entries. Pairs
   below the bound are discarded, the others counted over all columns.
 
-Columns with over 20 entries are left out of the product. They are put last in the
-order, and the rows that had one are taken through again: what they share
-besides is found by other columns. After the last pass those columns are
-worked off by components: each entry is counted against one central row;
-of the rest only pairs of different components are, and only if size and
-the row's entries that nobody shares allow a link.
+Columns with over 20 entries are left out of the product, and the rows that had
+one are taken through again with those columns last in the order: what they
+share besides is found by other columns. In the last pass, which few rows
+reach, the order is by the exact number of entries. Columns that are still long
+are worked off by components: each entry is counted against one central row;
+of the rest only pairs of different components are, and only if sizes and
+the entries that are left from this column on allow a link.
 
 Sets are made of 63-bit hashes of shingles.
 """
@@ -232,16 +233,27 @@ class _Join:
 
     def again(self, ids: DataFrame, last: np.ndarray | None) -> DataFrame:
         """id, n, ord and x of the rows with these ids, from their texts."""
-        wanted = common.materialize(self.rows.join(ids, "id", "left_semi"), "wanted")
+        wanted = common.materialize(self.rows.join(ids, "id", "left_semi"), "wanted", narrow=True)
         names = wanted.select(F.col("doc_id").alias("w")).distinct()
         small = common.checked_broadcast(names, wanted.count())
         texts = self.docs.join(small, common.same(F.col("doc_id"), F.col("w")), "left_semi")
         found = _set_rows(texts, last).select("h1", "h2", "ord", "x")
         return found.join(wanted.select("id", "h1", "h2", "n"), ["h1", "h2"]).select("id", "n", "ord", "x").dropDuplicates(["id"])
 
+    def rarest_first(self, ids: DataFrame) -> DataFrame:
+        """id, n, ord and x of the rows with these ids; the order is by how many of these rows have a shingle."""
+        with common.batch_rows(self.spark, SETS):
+            whole = common.materialize(self.again(ids, None).select("id", "n", "x"), "whole")
+        entries = whole.select("id", "n", F.explode("x").alias("token"))
+        counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+        sorted_sets = entries.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
+        first = sorted_sets.select("id", "n", F.slice("all", F.lit(1), (F.col("n") - F.expr("(4 * n + 4) div 5") + 1).cast("int")).alias("first"))
+        shared = F.transform(F.filter("first", lambda e: e["f"] > 1), lambda e: e["token"])
+        return first.select("id", "n", F.element_at("first", -1).alias("ord"), shared.alias("x"))
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets link, counted over all columns."""
-        pairs = common.materialize(pairs, "pairs")
+        pairs = common.materialize(pairs, "pairs", narrow=True)
         if pairs.isEmpty():
             return pairs
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -251,7 +263,7 @@ class _Join:
             return common.materialize(common.map_arrow(both, _overlaps, "a long, b long", keep=False), "links")
 
     def candidates(self) -> tuple[list[DataFrame], DataFrame, DataFrame]:
-        """Tables of pairs to count, entries (token, id) of columns that stayed long, and bounds of the rows in the last pass."""
+        """Tables of pairs to count, entries (token, id, pos) of columns that stayed long, and bounds of the rows in the last pass."""
         ids = self.rows.select("h1", "h2", "id", F.col("doc_id").alias("own"))
         first = self.sets.join(ids, (self.sets.h1 == ids.h1) & (self.sets.h2 == ids.h2) & common.same(F.col("doc_id"), F.col("own")))
         rows = first.select("id", "n", "ord", "x")
@@ -260,19 +272,21 @@ class _Join:
             if k:  # else the table of sets has them
                 rows = common.materialize(rows, "entries")
             made = _pass(rows, k)
-            facts = rows.select("id", "n", "ord")
+            facts = rows.select("id", "n", "ord", F.size("x").alias("listed"))
             long = made.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("id"))
-            hot = common.materialize(long.select("id").distinct(), "hot")
+            hot = common.materialize(long.select("id").distinct(), "hot", narrow=True)
             shared = made.where("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("c").alias("shared"))
-            bounds = facts.join(shared, "id", "left").select("id", "n", "ord", (F.col("n") - F.expr("(4 * n + 4) div 5") + 1).alias("p"), F.coalesce("shared", F.lit(0)).alias("shared"))
+            bounds = facts.join(shared, "id", "left").select("id", "n", "ord", "listed", (F.col("n") - F.expr("(4 * n + 4) div 5") + 1).alias("p"), F.coalesce("shared", F.lit(0)).alias("shared"))
             pairs = made.where("kind = 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
             pairs = self._within(pairs, bounds, hot, k + 1 < PASSES)
-            found.append(common.materialize(pairs, "pairs"))
+            found.append(common.materialize(pairs, "pairs", narrow=True))
             if k + 1 == PASSES or hot.isEmpty():
-                return found, long, bounds
-            columns = long.groupBy("token").count().orderBy(F.desc("count"), "token").limit(LONG).select("token").toArrow()["token"].to_numpy()
-            known = np.union1d(known, columns.astype(np.uint64))
-            rows = self.again(hot, known)
+                columns = long.select("token").distinct()
+                return found, rows.select("id", F.posexplode("x").alias("pos", "token")).join(columns, "token", "left_semi"), bounds
+            if k + 2 < PASSES:
+                columns = long.groupBy("token").count().orderBy(F.desc("count"), "token").limit(LONG).select("token").toArrow()["token"].to_numpy()
+                known = np.union1d(known, columns.astype(np.uint64))
+            rows = self.again(hot, known) if k + 2 < PASSES else self.rarest_first(hot)
         raise AssertionError("there is a last pass")
 
     def _within(self, pairs: DataFrame, bounds: DataFrame, hot: DataFrame, more: bool) -> DataFrame:
@@ -287,22 +301,24 @@ class _Join:
 
     def of_long_columns(self, long: DataFrame, bounds: DataFrame, edges: DataFrame) -> DataFrame:
         """Links (a, b) of rows that share a column that stayed long, up to what components need."""
-        entries = common.materialize(long.distinct(), "long")
+        entries = common.materialize(long, "long", narrow=True)
         if entries.isEmpty():
             return edges
         central = entries.groupBy("id").agg(F.count(F.lit(1)).alias("columns"))
         hub = entries.join(central, "id").groupBy("token").agg(F.max(F.struct("columns", "id")).alias("top")).select("token", F.col("top.id").alias("hub"))
         near = entries.join(hub, "token").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         edges = edges.union(self.linked(near))
-        members = common.materialize(entries.select("id").distinct(), "members")
+        members = common.materialize(entries.select("id").distinct(), "members", narrow=True)
         label = common.components(self.rows.select("id"), edges).join(members, "id", "left_semi")
-        # The largest size that a row's partner can have if the row's entries end first.
-        reach = bounds.withColumn("reach", F.expr("(9 * (n - p + shared) - 4 * n) div 4")).select("id", "n", "ord", "reach", (F.col("reach") * 5 >= F.col("n") * 4).alias("can"))
-        told = common.materialize(entries.join(reach, "id").join(label, "id"), "told")
+        # The largest size that a row's partner can have if the row's entries end first and this is the first of its
+        # entries that they share: then they share no more of them than are listed from here on.
+        reach = bounds.select("id", "n", "ord", "p", "listed")
+        far = F.expr("(9 * (n - p + listed - pos) - 4 * n) div 4")
+        told = common.materialize(entries.join(reach, "id").join(label, "id").withColumn("reach", far).withColumn("can", F.col("reach") * 5 >= F.col("n") * 4), "told", narrow=True)
         often = told.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
         least = told.where("can").groupBy("token").agg(F.min("ord").alias("from"))
         facts = often.where("labels > 1").join(least, "token").select("token", F.col("top.label").alias("main"), "from")
-        left = common.materialize(told.join(facts, "token").where("can or ord >= from").withColumn("other", F.col("label") != F.col("main")), "left")
+        left = common.materialize(told.join(facts, "token").where("can or ord >= from").withColumn("other", F.col("label") != F.col("main")), "left", narrow=True)
         a = left.where("can").select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "ord", "reach", "label", "other")])
         b = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "ord", "label", "other")])
         fits = "ord_a <= ord_b and id_a != id_b and label_a != label_b and n_b <= reach_a and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
@@ -333,7 +349,7 @@ def ngram_join(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """
     common.prepare(df.sparkSession)
     join = _Join(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    labels = common.materialize(join.rows.join(join.components(), "id"), "labels")
+    labels = common.materialize(join.rows.join(join.components(), "id"), "labels", narrow=True)
     smallest = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = labels.join(smallest, "label").select("h1", "h2", "component_id")
     full = join.sets.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2")
