@@ -24,7 +24,7 @@ LANGUAGES = 256
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 #: Distinct words whose n-grams are expanded at once.
-STEP = 200_000
+STEP = 40_000
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
