@@ -22,16 +22,16 @@ from pyspark.sql import DataFrame
 
 from granary.llm import common
 
-#: Entries of each table of known words; and words of one recursive query.
-KEPT, STEP = 400_000, 20_000
-#: Words up to this length stay known when a table is full: they are the frequent ones, and there aren't many.
-SHORT, MANY = 7, 150_000
+#: Known words at most; and words of one recursive query.
+KEPT, STEP = 450_000, 50_000
 #: A position takes this many bits of a merge's sort key.
 POSITION_BITS = 20
 #: Longer words (in bytes) are merged with a queue: recursion would need a round for each merge.
 LONGEST = 128
+#: Below this character, letters are the same ones in all versions of Unicode that matter.
+LATIN_END = "\u0250"
 #: Texts looked up at once.
-TEXTS = 250
+TEXTS = 500
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Rows hold a token, the one after it (-1: none) and their place; a merge at
@@ -49,7 +49,7 @@ WITH RECURSIVE step(w, pos, t, u, it) AS (
   ) b ON s.w = b.w
   WHERE s.pos <> b.p
 ), last AS (SELECT w, max(it) AS it FROM step GROUP BY w)
-SELECT step.w, count(*) AS n, string_agg(CAST(t AS VARCHAR), ',' ORDER BY pos) AS ids, string_agg(bytes, '' ORDER BY pos) AS decoded
+SELECT step.w, string_agg(CAST(t AS VARCHAR), ',' ORDER BY pos) AS ids, unhex(string_agg(bytes, '' ORDER BY pos)) AS decoded
 FROM step JOIN last ON step.w = last.w AND step.it = last.it JOIN vocabulary ON t = vocabulary.id
 GROUP BY step.w ORDER BY step.w
 """
@@ -63,7 +63,6 @@ class Encoder:
     """A vocabulary in an in-process database, and the words met so far."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import regex
 
         with open(path, "rb") as f:
@@ -74,19 +73,55 @@ class Encoder:
         #: The shortcut of cutting at single spaces holds for patterns that let a word take one space in front.
         self.cut = self.pattern.findall("a bé 1 ,x\n\ny") == ["a", " bé", " ", "1", " ,", "x", "\n", "\n", "y"] or self.pattern.findall("a b\nc") == ["a", " b", "\n", "c"]
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
         pairs = [(a, b, m) for word, m in self.ranks.items() for i in range(1, len(word)) if (a := self.ranks.get(word[:i])) is not None and (b := self.ranks.get(word[i:])) is not None]
-        own = {"merges": pa.table(dict(zip("abm", (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)), strict=True)))}
-        own["vocabulary"] = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [w.hex() for w in self.ranks]})
-        for name, rows in own.items():
-            self.db.register("rows", rows)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
-            self.db.unregister("rows")
-        #: Ids (decimal, joined by commas) and bytes of words, and of pieces that had a space in front.
-        self.ids: dict[str, str] = {}
-        self.bytes: dict[str, bytes] = {}
+        self.tables = {"merges": pa.table(dict(zip("abm", (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)), strict=True)))}
+        self.tables["vocabulary"] = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [w.hex() for w in self.ranks]})
+        self.db = None
+        #: Words that are tokens as they are.
+        self.whole = {text: (str(m), w) for w, m in self.ranks.items() if (text := w.decode("utf-8", "replace")).encode() == w}
+        #: Ids (decimal, joined by commas) and bytes of what follows a space in a text, by that without the
+        #: space; and of words that follow none.
         self.spaced_ids: dict[str, str] = {}
         self.spaced_bytes: dict[str, bytes] = {}
+        self.plain_ids: dict[str, str] = {}
+        self.plain_bytes: dict[str, bytes] = {}
+
+    def open(self) -> None:
+        """Load the tables into a database of this process."""
+        import duckdb
+
+        if self.db is None:
+            self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
+            for name, rows in self.tables.items():
+                self.db.register("rows", rows)
+                self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+                self.db.unregister("rows")
+
+    def close(self) -> None:
+        """A worker that waits for its next task holds no database and no words."""
+        self.forget()
+        if self.db is not None:
+            self.db.close()
+            self.db = None
+
+    def forget(self) -> None:
+        """Empty the tables of known words."""
+        for known in (self.spaced_ids, self.spaced_bytes, self.plain_ids, self.plain_bytes):
+            known.clear()
+
+    def ids_of(self, word: str) -> str:
+        return self.spaced_ids[word[1:]] if word[0] == " " else self.plain_ids[word]
+
+    def bytes_of(self, word: str) -> bytes:
+        return self.spaced_bytes[word[1:]] if word[0] == " " else self.plain_bytes[word]
+
+    def keep(self, words: list[str], ids: list[str], raw: list[bytes]) -> None:
+        for w, i, r in zip(words, ids, raw, strict=True):
+            if w[0] == " ":
+                w = w[1:]
+                self.spaced_ids[w], self.spaced_bytes[w] = i, r
+            else:
+                self.plain_ids[w], self.plain_bytes[w] = i, r
 
     def merge_long(self, word: bytes) -> list[int]:
         """Ids of a long word, by a queue of pairs."""
@@ -126,30 +161,31 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that aren't known, and decode their ids."""
-        rest = []
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            if (one := self.ranks.get(raw)) is not None:
-                self.ids[w], self.bytes[w] = str(one), raw
-            elif len(raw) > LONGEST:
-                ids = self.merge_long(raw)
-                self.ids[w], self.bytes[w] = ",".join(map(str, ids)), self.decode([ids])[0]
-            else:
-                rest.append((w, raw))
+        whole = self.whole
+        alone = [w for w in words if w in whole]
+        self.keep(alone, [whole[w][0] for w in alone], [whole[w][1] for w in alone])
+        rest = [w for w in words if w not in whole]
         for i in range(0, len(rest), STEP):
             part = rest[i : i + STEP]
-            size = np.fromiter((len(raw) for _, raw in part), np.int64, len(part))
-            t = self.byte[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
+            if any(len(w) > LONGEST // 4 for w in part):  # a character has four bytes at most
+                for w in part:
+                    if len(raw := w.encode("utf-8", "surrogatepass")) > LONGEST:
+                        ids = self.merge_long(raw)
+                        self.keep([w], [",".join(map(str, ids))], self.decode([ids]))
+                part = [w for w in part if len(w.encode("utf-8", "surrogatepass")) <= LONGEST]
+            if not part:
+                continue
+            column = pa.array(part, pa.string())
+            size = np.diff(np.frombuffer(column.buffers()[1], np.int32)[: len(part) + 1])
             end = np.cumsum(size)
+            t = self.byte[np.frombuffer(column.buffers()[2], np.uint8)[: end[-1]]]
             u = np.append(t[1:], -1).astype(np.int32)
             u[end - 1] = -1
             rows = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": (np.arange(len(t)) - np.repeat(end - size, size)).astype(np.int32), "t": t, "u": u})
             self.db.register("start", rows)
             got = self.db.sql(ENCODE).to_arrow_table()
             self.db.unregister("start")
-            own = [w for w, _ in part]
-            self.ids.update(zip(own, got["ids"].to_pylist(), strict=True))
-            self.bytes.update(zip(own, map(bytes.fromhex, got["decoded"].to_pylist()), strict=True))
+            self.keep(part, got["ids"].to_pylist(), got["decoded"].to_pylist())
 
     def parts(self, text: str) -> tuple[list[str], bool]:
         """Pieces of a text that encode apart from each other; whether each but the first has lost a space in front."""
@@ -159,29 +195,31 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids (decimal, joined by commas) and decoded bytes of each text."""
-        ids, raw, spaced_ids, spaced_bytes = self.ids, self.bytes, self.spaced_ids, self.spaced_bytes
-        for known, also in ((ids, raw), (spaced_ids, spaced_bytes)):
-            if len(known) > KEPT:
-                short = [w for w in known if len(w) <= SHORT]
-                stay = short if len(short) <= MANY else []
-                for x in (known, also):
-                    held = [(w, x[w]) for w in stay]
-                    x.clear()
-                    x.update(held)
+        spaced_ids, spaced_bytes = self.spaced_ids, self.spaced_bytes
+        if len(spaced_ids) > KEPT or len(self.plain_ids) > KEPT // 4:
+            self.forget()
         split = [self.parts(t) for t in texts]
-        new = {p for parts, cut in split if cut for p in parts[1:]}.difference(spaced_ids)
-        #: The words of each new piece, with the space that it had lost.
-        words = {p: self.pattern.findall(" " + p) for p in new}
-        heads = {parts[0]: self.pattern.findall(parts[0]) for parts, cut in split if cut}
-        wanted = {w for group in (words, heads) for ws in group.values() for w in ws}
-        wanted.update(w for parts, cut in split if not cut for w in parts)
-        self.learn(list(wanted.difference(ids)))
-        for p, ws in words.items():
-            spaced_ids[p], spaced_bytes[p] = (ids[ws[0]], raw[ws[0]]) if len(ws) == 1 else (",".join([ids[w] for w in ws]), b"".join([raw[w] for w in ws]))
+        new = set().union(*[parts[1:] for parts, cut in split if cut]).difference(spaced_ids)
+        #: Pieces of several words, with the space that they had lost; plain letters are one word.
+        findall = self.pattern.findall
+        single, several = set(), {}
+        for p in new:
+            if p.isalpha() and max(p) < LATIN_END:
+                single.add(" " + p)
+            else:
+                several[p] = findall(" " + p)
+        heads = {parts[0]: findall(parts[0]) for parts, cut in split if cut}
+        wanted = single.union(*several.values(), *heads.values(), *[parts for parts, cut in split if not cut])
+        plain_ids = self.plain_ids
+        self.learn([w for w in wanted if (w[1:] not in spaced_ids if w[0] == " " else w not in plain_ids)])
+        for p, words in several.items():
+            if len(words) > 1:
+                spaced_ids[p] = ",".join([self.ids_of(w) for w in words])
+                spaced_bytes[p] = b"".join([self.bytes_of(w) for w in words])
         out = []
         for parts, cut in split:
             first = heads[parts[0]] if cut else parts
-            own, data = [ids[w] for w in first], [raw[w] for w in first]
+            own, data = [self.ids_of(w) for w in first], [self.bytes_of(w) for w in first]
             if cut:
                 own += map(spaced_ids.__getitem__, parts[1:])
                 data += map(spaced_bytes.__getitem__, parts[1:])
@@ -197,7 +235,9 @@ def _encoder(path: str, pattern: str, process: int) -> Encoder:
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    return _encoder(path, pattern, os.getpid())
+    e = _encoder(path, pattern, os.getpid())
+    e.open()
+    return e
 
 
 def bpe_encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
@@ -230,6 +270,8 @@ def bpe_encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids:
                 if ids:
                     own.append(pa.array([np.fromstring(g[1], np.int32, sep=",") if g[1] else [] for g in got], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[f"c{j}" for j in range(batch.num_columns + len(own))])
+        e.close()
+        gc.enable()
 
     return common.map_arrow(df, run, SCHEMA + ", token_ids array<int>" * ids)
 
@@ -252,5 +294,6 @@ def bpe_decode(df: DataFrame, ranks: str, pattern: str, ids: str = "token_ids")
                 raw = e.decode([x or [] for x in lists])
                 own = pa.array([None if x is None else r for x, r in zip(lists, raw, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[f"c{j}" for j in range(batch.num_columns + 1)])
+        e.close()
 
     return common.map_arrow(df, run, "decoded binary")
