@@ -1,7 +1,8 @@
 """Mixing a corpus to target weights by soft domain membership.
 
 A classifier fitted on the labelled table gives each document a posterior
-over domains (multinomial naive Bayes over hashed words). A document with t
+over domains (naive Bayes over what occurs in a text: hashed words, marks at
+their ends, levels of capitals and of repetition). A document with t
 tokens and posterior p, repeated r times, adds r * t * p[k] expected tokens
 to domain k. Projected gradient descent looks for rates r >= 0 that minimize
 
@@ -16,6 +17,8 @@ is kept and a lost executor costs one task.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,9 +27,16 @@ from pyspark.sql import functions as F
 
 from granary.llm import common
 
-BUCKETS = 1 << 16
-#: Words of pseudo-counts for each domain, and the count at which a word's weight is halved.
-SMOOTH, RARE = 100.0, 50.0
+#: Buckets of words without the marks around them, and of marks at a word's end.
+BUCKETS, ENDS = 1 << 18, 1 << 12
+MARKS = string.punctuation + "«»¿¡…–—“”„’‘"
+#: Bounds of levels of a text's share of words in capitals, and of words that repeat the one before.
+SHARES = (1e-9, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
+FEATURES = BUCKETS + ENDS + 2 * (len(SHARES) + 1)
+#: Twice the log likelihood ratio that chance may reach, and the least log ratio of a word that counts.
+CHANCE, LIFT = 9.0, 0.5
+#: Words at most whose buckets a task remembers.
+CODES = 1 << 16
 #: Strength of the pull of rates to 1, and the most that a rate can be.
 PULL, MOST = 1e-3, 20.0
 #: Iterations at most, and the largest miss of a target (of all tokens) at which they end.
@@ -37,49 +47,102 @@ DOMAINS = 64
 TEXTS = 250
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of distinct lower-case words, and for each occurrence its word's number and its row."""
-    import xxhash
+class _Codes(dict):
+    """For a word: the bucket of what it is without marks, the bucket of the marks at its end, each from 1 (0: none), and if it is in capitals."""
+
+    def __missing__(self, word):
+        import xxhash
+
+        own = word.strip(MARKS)
+        lower = own.lower()
+        end = word[len(word.rstrip(MARKS)) :] if own else word
+        code = (xxhash.xxh64_intdigest(lower) & (BUCKETS - 1)) + 1 if own else 0
+        code += ((xxhash.xxh64_intdigest(end) & (ENDS - 1)) + 1 if end else 0) << 24
+        code += (len(own) > 1 and lower != own and own.upper() == own) << 48
+        if len(word) <= 64:
+            if len(self) >= CODES:
+                self.clear()
+            self[word] = code
+        return code
 
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+
+def _features(texts: pa.Array, codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (at most TEXTS) and features that occur in them, each once, and the number of words of each row."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     rows = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
     coded = lists.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    bucket = np.fromiter((xxhash.xxh64_intdigest(w) & (BUCKETS - 1) if w else -1 for w in words), np.int64, len(words))
-    index = coded.indices.to_numpy(zero_copy_only=False)
-    real = bucket[index] >= 0 if len(words) else np.zeros(0, bool)
-    return bucket, index[real], rows[real]
+    code = np.fromiter((codes[w] for w in words), np.int64, len(words))
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    real = code[index] > 0
+    index, rows = index[real], rows[real]
+    tokens = np.bincount(rows, minlength=len(texts))
+    own, end, capital = (code & 0xFFFFFF) - 1, ((code >> 24) & 0xFFFFFF) - 1, code >> 48
+    end[end >= 0] += BUCKETS
+    keys = []
+    for feature in (own, end):
+        at = feature[index] >= 0
+        keys.append(rows[at] * FEATURES + feature[index[at]])
+    again = np.zeros(len(index), bool)
+    again[1:] = (index[1:] == index[:-1]) & (rows[1:] == rows[:-1])
+    some = np.flatnonzero(tokens)
+    for group, flag in enumerate((capital[index], again)):
+        share = np.bincount(rows, flag, len(texts))[some] / tokens[some]
+        keys.append(some * FEATURES + BUCKETS + ENDS + group * (len(SHARES) + 1) + np.digitize(share, SHARES))
+    key = np.unique(np.concatenate(keys).astype(np.int32)).astype(np.int64)
+    return key // FEATURES, key % FEATURES, tokens
 
 
 def fit_domains(labelled: DataFrame, domains: list[str]) -> np.ndarray:
-    """Weights (buckets, then the log prior, by domains) from rows of text and domain.
-
-    A weight is the log of how much more likely a word is in a domain than
-    in all, drawn to 0 for words that are too rare to tell.
+    """Weights (features, then any word, then the log prior, by domains) from rows of text and domain.
+
+    A weight is the log of how much likelier a feature is in a domain than
+    in all. It is 0 unless a likelihood ratio test tells the domain from the
+    others by the feature, and is drawn to 0 where that is close: sums of
+    many weights that fit chance would recall the labelled rows and no others.
+    The weight of any word makes a domain's words as likely in sum as all
+    words are, so that a long text without a domain's words isn't of it.
     """
     where = {d: k for k, d in enumerate(domains)}
 
     def count(batches):
+        codes = _Codes()
         for batch in batches:
             for name in pc.unique(batch.column(1)).to_pylist():
                 if name not in where:
                     continue
                 texts = batch.column(0).filter(pc.equal(batch.column(1), name))
-                bucket, index, _ = _words(texts)
-                total = np.bincount(bucket[index], minlength=BUCKETS) if len(index) else np.zeros(BUCKETS, np.int64)
-                at = np.append(np.flatnonzero(total), BUCKETS)
+                total = np.zeros(FEATURES, np.int64)
+                for i in range(0, len(texts), TEXTS):
+                    found, n = np.unique(_features(texts.slice(i, TEXTS), codes)[1], return_counts=True)
+                    total[found] += n
+                at = np.append(np.flatnonzero(total), FEATURES)
                 n = np.append(total, len(texts))[at]
                 yield pa.RecordBatch.from_arrays([pa.array([where[name]] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int64())], names=["c0", "c1", "c2"])
 
-    found = common.map_arrow(labelled.select("text", "domain"), count, "domain int, bucket int, n long", keep=False)
-    rows = found.groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((BUCKETS + 1, len(domains)))
-    counts[rows["bucket"].to_numpy(), rows["domain"].to_numpy()] = rows["n"].to_numpy()
-    every = counts[:-1].sum(1, keepdims=True)
-    base = (every + 0.5) / (every + 0.5).sum()
-    own = (counts[:-1] + SMOOTH * base) / (counts[:-1].sum(0) + SMOOTH)
+    found = common.map_arrow(labelled.select("text", "domain"), count, "domain int, feature int, n long", keep=False)
+    rows = found.groupBy("domain", "feature").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((FEATURES + 1, len(domains)))
+    counts[rows["feature"].to_numpy(), rows["domain"].to_numpy()] = rows["n"].to_numpy()
     prior = counts[-1] + 1
-    return np.vstack([np.log(own / base) * every / (every + RARE), np.log(prior / prior.sum())])
+    every = counts[:-1].sum(1)
+    words = np.arange(FEATURES) < BUCKETS + ENDS
+    # Words count against all words that texts have, so that a domain's long texts make no word its own; shares against texts.
+    size = counts[: BUCKETS + ENDS].sum(0) + 1
+    base = np.where(words, every, 0)
+    weights = np.zeros((FEATURES + 2, len(domains)))
+    weights[-1] = np.log(prior / prior.sum())
+    for k in range(len(domains)):
+        n, part = counts[:-1, k], np.where(words, size[k] / size.sum(), prior[k] / prior.sum())
+        expected = every * part
+        lift = np.log((n + part + 1e-12) / (expected + part + 1e-12))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.where(n > 0, n * np.log(n / expected), 0) + np.where(every > n, (every - n) * np.log((every - n) / (every - expected)), 0))
+        sure = np.clip(1 - CHANCE / np.maximum(ratio, 1e-9), 0, 1)
+        own = np.where(words & (np.abs(lift) < LIFT), 0, lift * sure)
+        weights[:-2, k] = own
+        weights[-2, k] = -np.log1p(base @ np.expm1(own) / max(base.sum(), 1))
+    return weights
 
 
 def posteriors(df: DataFrame, model: np.ndarray) -> DataFrame:
@@ -88,15 +151,17 @@ def posteriors(df: DataFrame, model: np.ndarray) -> DataFrame:
     at = df.columns.index("text")
 
     def run(batches):
-        table = shared.value
+        table, codes = shared.value, _Codes()
+        live = table[:-2].any(1)
         for whole in batches:
             for i in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(i, TEXTS)
                 n = batch.num_rows
-                bucket, index, rows = _words(batch.column(at))
-                tokens = np.bincount(rows, minlength=n)
-                p = np.stack([np.bincount(rows, table[bucket[index], k], n) for k in range(table.shape[1])], 1)
-                p += table[-1]
+                rows, found, tokens = _features(batch.column(at), codes)
+                size = np.bincount(rows[found < BUCKETS + ENDS], minlength=n)
+                rows, found = rows[live[found]], found[live[found]]
+                p = np.stack([np.bincount(rows, table[found, k], n) for k in range(table.shape[1])], 1)
+                p += size[:, None] * table[-2] + table[-1]
                 p = np.exp(p - p.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * p.shape[1] + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))

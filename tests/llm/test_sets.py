@@ -284,6 +284,28 @@ def test_mixing(spark, empty):
     assert mix(empty, labelled, {"a": 1, "b": 1}).collect() == []
 
 
+def test_domains_of_documents_without_a_label(spark):
+    """Each fifth of the labelled rows is held out; toxic ones count if a word of abuse is in them."""
+    import numpy as np
+
+    from granary.llm import mixing as m
+    from granary.llm.queries import TARGETS, labelled_domains
+
+    domains = sorted(TARGETS)
+    fold = F.pmod(F.xxhash64("text"), F.lit(5))
+    rows = labelled_domains(spark, SF.replace("0.001", "0.01")).dropDuplicates(["text"]).withColumn("fold", fold).cache()
+    abuse = re.compile(r"\b(trash|pathetic|idiot|worthless|disgusting|stupid|clown|scum|loser|moron)\b")
+    right = {d: [] for d in domains}
+    for k in range(5):
+        model = m.fit_domains(rows.where(F.col("fold") != k), domains)
+        for r in m.posteriors(rows.where(F.col("fold") == k), model).collect():
+            if r.domain != "toxic" or abuse.search(r.text.lower()):
+                right[r.domain].append(domains[int(np.argmax(r.p))] == r.domain)
+    rows.unpersist()
+    share = {d: sum(x) / len(x) for d, x in right.items()}
+    assert share["toxic"] > 0.85 and share["junk"] > 0.75 and share["clean"] > 0.9, share
+
+
 def test_rates_match_a_dense_solution():
     import numpy as np
 
