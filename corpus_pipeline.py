@@ -32,7 +32,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without later copies of repeated passages; those that nothing is left of go."""
     from granary.llm.line_dedup import line_dedup
 
-    cut = line_dedup(docs).where(F.length(F.trim("text")) > 0)
+    cut = line_dedup(docs, every=True).where(F.length(F.trim("text")) > 0)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -6,7 +6,12 @@ whole window, is its fingerprint. So whatever passage of 50 words or more
 two documents share, in whole lines, they share a fingerprint of. Positions
 of a fingerprint are joined with its first one (least doc_id, then line);
 matches are extended both ways while lines are equal, and the later run is
-deleted.
+deleted. So a tail of under 50 words that goes on at another earlier place stays.
+
+With `every`, all earlier places count, and no matches are extended: each line
+of a repeated run lies in a window that starts in the run or in one that ends
+in it, and as whole windows are compared, the first place of a window tells
+whether there is an earlier one.
 
 All of it runs as DataFrame expressions.
 """
@@ -105,20 +110,62 @@ def repeated_runs(df: DataFrame, words: int = WORDS) -> DataFrame:
     return runs.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs"))
 
 
-def line_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, added: bool = False) -> DataFrame:
+def windows(lines: DataFrame, words: int = WORDS) -> DataFrame:
+    """d, th, from, to and the fingerprint (fp, fp2) of windows such that any two lines next to each other in a run of that many words are in one of the run's windows.
+
+    They are those that start at a line, those that end at a line, and lines that have the words alone with their next one.
+    """
+    own = Window.partitionBy(*KEY)
+    after = F.sum("w").over(own.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    starting = own.orderBy("before").rangeBetween(0, words - 1)
+    ending = own.orderBy("after").rangeBetween(-(words - 1), 0)
+    following = own.orderBy("before").rowsBetween(0, 1)
+
+    def window(frame, fits):
+        hs = F.collect_list("h").over(frame)
+        return F.struct(F.min("line").over(frame).alias("from"), F.max("line").over(frame).alias("to"), F.min("h").over(frame).alias("least"), hs.alias("all"), fits.alias("fits"))
+
+    # An ending window that would be short without its last line is a starting one too.
+    rows = lines.withColumn("after", after.cast("long")).withColumn("before", F.col("after") - F.col("w"))
+    found = rows.select(
+        *KEY,
+        window(starting, F.sum("w").over(starting) >= words).alias("a"),
+        window(ending, F.sum("w").over(ending) - F.col("w") >= words).alias("b"),
+        window(following, (F.col("w") >= words) & (F.count("w").over(following) == 2)).alias("c"),
+    )
+    each = found.select(*KEY, F.explode(F.filter(F.array("a", "b", "c"), lambda x: x["fits"])).alias("x"))
+    return each.select(*KEY, "x.from", "x.to", F.xxhash64("x.least", "x.all").alias("fp"), F.xxhash64(F.lit(1), "x.all").alias("fp2"))
+
+
+def every_run(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """As repeated_runs, of passages that stand at any earlier place."""
+    found = common.materialize(windows(line_rows(df), words), "windows")
+    place = F.struct(*KEY, "from")
+    first = found.groupBy("fp", "fp2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = found.join(first, ["fp", "fp2"]).where(place != F.col("first"))
+    # Windows that overlap become one run.
+    order = Window.partitionBy(*KEY).orderBy("from", "to")
+    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.select(*KEY, "from", "to").withColumn("new", F.when(F.col("from") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy(*KEY, "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs"))
+
+
+def line_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, added: bool = False, every: bool = False) -> DataFrame:
     """df without the later copies of repeated passages in its texts; with n_lines and n_deleted if `added`.
 
     A passage is a run of whole lines, compared without spaces at their ends
     and with lines without words left out, of `words` words or more. It
     repeats if the same lines stand at an earlier place: in a row with a
-    smaller doc_id, in one with the same doc_id and another text, or further up. The earliest place stays. Runs that
+    smaller doc_id, in one with the same doc_id and another text, or further up. The earliest place stays. Without `every`, a passage is compared with the first place of each of its windows alone. Runs that
     overlap their own copy lose all but what comes first. Null texts stay
     null, and a text whose lines all go becomes empty. Rows that repeat both doc_id and text count
     once and are cut alike. A null doc_id comes before any other. Rows and
     other columns all stay; an empty table gives an empty one.
     """
     common.prepare(df.sparkSession)
-    runs = common.materialize(repeated_runs(df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words), "runs")
+    found = every_run if every else repeated_runs
+    runs = common.materialize(found(df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words), "runs")
     names = [f"c{i}" for i in range(len(df.columns))]
     at = df.columns.index(text)
     inner = df.toDF(*names)

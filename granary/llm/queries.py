@@ -44,7 +44,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.line_dedup import line_dedup
 
-    done = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"), added=True)
+    done = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"), added=True, every=True)
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -105,6 +105,43 @@ def test_line_dedup(spark, empty):
     assert line_dedup(empty).collect() == []
 
 
+def brute_every_place(rows, words):
+    rows = sorted(set(rows))
+    lines = [[(x, i) for i, x in enumerate(y.strip(" ") for y in t.split("\n")) if x] for _, t in rows]
+    out = {}
+    for k, (own, r) in enumerate(zip(lines, rows, strict=True)):
+        gone = set()
+        for k0, other in enumerate(lines[: k + 1]):
+            for i in range(len(own)):
+                for i0 in range(len(other) if k0 < k else i):
+                    if i and i0 and own[i - 1][0] == other[i0 - 1][0]:
+                        continue
+                    n = total = 0
+                    while i + n < len(own) and i0 + n < len(other) and own[i + n][0] == other[i0 + n][0]:
+                        total += own[i + n][0].count(" ") + 1
+                        n += 1
+                    if total >= words:
+                        gone |= set(range(own[i][1], own[i + n - 1][1] + 1))
+        out[r] = "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone)
+    return out
+
+
+def test_line_dedup_compares_every_earlier_place(spark, empty):
+    from granary.llm.line_dedup import line_dedup
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(10))
+    got = line_dedup(frame(spark, [(0, a), (1, f"{a}\n{b}\nx"), (2, f"{a}\n\n{b}\ny")]), every=True)
+    assert tuples(got.select("doc_id", "text")) == [(0, a), (1, f"{b}\nx"), (2, "y")]
+    rng = random.Random(16)
+    pool = [" ".join(rng.choice("abcdef") * 3 for _ in range(rng.choice([1, 2, 3, 4, 5, 9]))) for _ in range(9)] + ["", " padded "]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {i} {j}" for j in range(rng.randint(0, 20)))) for i in range(60)]
+    rows += [(500, "\n".join(["same words here"] * 40)), rows[3], (3, rows[4][1])]
+    want = brute_every_place(rows, 8)
+    assert tuples(line_dedup(frame(spark, [*rows, (600, None)]), words=8, every=True).select("doc_id", "text")) == sorted([(d, want[d, t]) for d, t in rows] + [(600, None)], key=str)
+    assert want != brute_lines(rows, 8) and line_dedup(empty, every=True).collect() == []
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_line_dedup_plans_are_native(spark):
     from granary.llm.line_dedup import line_dedup
     from granary.llm.secret_scan import scan_secrets
