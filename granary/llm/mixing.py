@@ -17,6 +17,7 @@ is kept and a lost executor costs one task.
 
 from __future__ import annotations
 
+import logging
 import string
 
 import numpy as np
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from granary.llm import common
 
+LOG = logging.getLogger(__name__)
+
 #: Buckets of words without the marks around them, and of marks at a word's end.
 BUCKETS, ENDS = 1 << 18, 1 << 12
 MARKS = string.punctuation + "«»¿¡…–—“”„’‘"
@@ -39,8 +42,8 @@ CHANCE, LIFT = 9.0, 0.5
 CODES = 1 << 16
 #: Strength of the pull of rates to 1, and the most that a rate can be.
 PULL, MOST = 1e-3, 20.0
-#: Iterations at most, and the largest miss of a target (of all tokens) at which they end.
-ROUNDS, CLOSE = 60, 1e-3
+#: Iterations at most, and the largest miss (of each target; of all tokens where that is 0) at which they end.
+ROUNDS, CLOSE = 60, 0.01
 #: Domains at most: bounds the broadcast matrix.
 DOMAINS = 64
 #: Words of a batch that are looked up at once are split from this many texts.
@@ -183,6 +186,11 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _miss(miss: np.ndarray, targets: np.ndarray) -> float:
+    """The largest miss as a part of its target."""
+    return float(np.max(np.abs(miss) / np.where(targets > 0, targets, 1)))
+
+
 def fit_rates(table: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps of the projected gradient for documents (tokens, p), and the shares of domains that they reach.
 
@@ -217,7 +225,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray],
         return steps, np.zeros(k)
     miss, length = reached / whole - targets, 1.0
     for _ in range(ROUNDS):
-        if np.abs(miss).max() <= CLOSE or length < 1e-3:
+        if _miss(miss, targets) <= CLOSE or length < 1e-3:
             break
         step = length * np.linalg.solve(outer / whole + PULL * np.eye(k), miss)
         reached, next_outer = sums([*steps, step])
@@ -250,7 +258,9 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str
     model = fit_domains(labelled.where("text is not null and domain is not null"), domains)
     df = df.drop("tokens", "domain", "posterior", "rate", "p")
     narrow = common.materialize(posteriors(df.select(F.col(text).alias("text")), model).select("tokens", "p"), "posteriors")
-    steps, _ = fit_rates(narrow, weight)
+    steps, reached = fit_rates(narrow, weight)
+    met = _miss(reached - weight, weight) <= CLOSE
+    LOG.log(logging.INFO if met else logging.WARNING, "targets %s: shares of %s reached for %s", "met" if met else "not met", reached.round(5).tolist(), domains)
     names = df.columns
     full = posteriors(df.withColumnRenamed(text, "text"), model) if text != "text" else posteriors(df, model)
     at = full.columns.index("p")

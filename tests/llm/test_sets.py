@@ -357,6 +357,19 @@ def test_rates_match_a_dense_solution():
     assert np.allclose(m.rates(p, steps), r) and (m.rates(p, [np.array([50.0, 50, 50])]) == 0).all()
 
 
+def test_rates_meet_small_targets(spark):
+    import numpy as np
+
+    from granary.llm import mixing as m
+
+    rng = np.random.default_rng(13)
+    p = rng.dirichlet([3, 0.3, 0.1], 600)
+    table = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(rng.integers(10, 400, 600), p, strict=True)], "tokens long, p array<double>")
+    targets = np.array([0.95, 0.04, 0.01])
+    _, reached = m.fit_rates(table, targets)
+    assert (np.abs(reached - targets) <= 0.01 * targets).all(), reached
+
+
 # WARC
 
 
