@@ -8,14 +8,17 @@ import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of a batch that Spark hands to Python; bounds a worker's memory.
 BATCH_ROWS = 1000
-#: A side is broadcast only when its counted rows are at most this many.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when Spark's statistics give it at most this many bytes; files are compressed, so it may take some times more in memory.
+BROADCAST_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -77,9 +80,15 @@ def forget_tables() -> None:
 atexit.register(forget_tables)
 
 
-def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is small enough by count, else as it is."""
-    return F.broadcast(df) if rows <= limit else df
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialized table with a broadcast hint if its files are small enough, else as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
+def let(value, body):
+    """body(value), where value is computed once however often body uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def lower_ascii(col):
@@ -91,21 +100,31 @@ def release() -> None:
     """Give memory that isn't used back to the machine: idle workers count in an executor's share."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def pieces(batches, at: int, rows: int, size: int):
+    """Batches cut into pieces of so many rows at most; a piece ends where column `at` has that many bytes (list elements)."""
+    for batch in batches:
+        column = batch.column(at)
+        lengths = pc.fill_null(pc.binary_length(column) if pa.types.is_string(column.type) or pa.types.is_binary(column.type) else pc.list_value_length(column), 0)
+        total, begin = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while begin < batch.num_rows:
+            before = total[begin - 1] if begin else 0
+            end = min(begin + rows, int(np.searchsorted(total, before + size)) + 1, batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def map_arrow(df: DataFrame, run, added: str, keep: bool = True) -> DataFrame:
     """mapInArrow with df's columns (if kept) and then those in `added`.
 
     run yields record batches in that order; names don't matter, so that
     tables with odd or clashing names pass through.
     """
-    import pyarrow as pa
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL(added)

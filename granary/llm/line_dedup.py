@@ -1,17 +1,19 @@
 """Repeated passages of lines, found by winnowing over line hashes.
 
-Every line of a document has a hash. A window starts at each line and ends
-where it has 50 words; its minimum line hash, qualified by the hash of the
-whole window, is its fingerprint. So whatever passage of 50 words or more
-two documents share, in whole lines, they share a fingerprint of. Positions
-of a fingerprint are joined with its first one (least doc_id, then line);
-matches are extended both ways while lines are equal, and the later run is
-deleted. So a tail of under 50 words that goes on at another earlier place stays.
-
-With `every`, all earlier places count, and no matches are extended: each line
-of a repeated run lies in a window that starts in the run or in one that ends
-in it, and as whole windows are compared, the first place of a window tells
-whether there is an earlier one.
+Every line of a document has a hash. Windows of 50 words or more start at each
+line and end at each line; of each window the line with the least hash (the
+last one, if several) is selected. Its hash is the fingerprint and stands for
+all windows that select it, so there are far fewer places than windows. A
+window's selection follows from its lines alone: whatever passage of 50 words
+or more, in whole lines, two places share, they share a selected line of.
+
+Fingerprints that occur at more than one place join positions: only the windows
+around such places are verified, line by line, by the hash of all their lines.
+Verified windows that overlap extend a match both ways: each line of a
+repeated run lies in a window inside the run that starts or ends in it, and
+so each such window has an earlier place just if the run has. Runs that have an
+earlier place are deleted. A line that occurs everywhere costs no pairs of
+its places: each window is compared with the first place of its lines.
 
 All of it runs as DataFrame expressions.
 """
@@ -25,7 +27,6 @@ from granary.llm import common
 
 #: Words of a window: passages of as many words or more are found.
 WORDS = 50
-LEAST = -(2**63)
 KEY = ["d", "th"]
 
 
@@ -36,150 +37,116 @@ def _line(x):
 
 
 def line_rows(df: DataFrame) -> DataFrame:
-    """One row for each line with words of each distinct (doc_id, text) of df: d, th, at, line, h, w.
+    """One row for each line with words of each distinct (doc_id, text) of df: d, th, line, h, w, at, before.
 
-    at counts lines with words, line counts all; both from 0. d is doc_id,
-    the least long if null, and th a hash of the text, which tells rows with the same doc_id apart.
+    line counts all lines from 0, at those with words, before the words ahead of the line. d is doc_id and th a hash
+    of the text, which tells rows with the same doc_id apart.
     """
-    rows = df.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("d"), F.xxhash64("text").alias("th"),
-        F.transform(F.split("text", "\n"), _line).alias("lines"),
-    ).groupBy(*KEY).agg(F.first("lines").alias("lines"))
+    rows = df.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), F.transform(F.split("text", "\n"), _line).alias("lines"))
+    rows = rows.groupBy(*KEY).agg(F.first("lines").alias("lines"))
     each = rows.select(*KEY, F.posexplode("lines").alias("line", "x")).select(*KEY, "line", "x.*").where("w > 0")
-    return each.withColumn("at", F.row_number().over(Window.partitionBy(*KEY).orderBy("line")) - 1)
-
-
-def fingerprints(lines: DataFrame, words: int = WORDS) -> DataFrame:
-    """d, th, at and fp: the place and the fingerprint of each window that has that many words."""
-    own = Window.partitionBy(*KEY)
-    before = F.sum("w").over(own.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
-    window = own.orderBy("before").rangeBetween(0, words - 1)
-    found = lines.withColumn("before", F.coalesce(before, F.lit(0)).cast("long")).select(
-        *KEY, "at",
-        F.sum("w").over(window).alias("total"),
-        F.min(F.struct("h", "at")).over(window).alias("least"),
-        F.collect_list("h").over(window).alias("all"),
-    )
-    return found.where(F.col("total") >= words).select(*KEY, F.col("least.at").alias("at"), F.xxhash64("least.h", F.col("least.at") - F.col("at"), "all").alias("fp"))
-
-
-def _equal_run(a, b):
-    """How many leading elements of two arrays are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at == 0, F.size(same)).otherwise(at.cast("int") - 1)
-
-
-def _slice(a, begin, length):
-    """length elements from an index (from 0)."""
-    return F.slice(a, begin + 1, F.greatest(length, F.lit(0)))
-
-
-def repeated_runs(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """d, th and runs: an array of (from, to), the lines of repeated passages in each (doc_id, text) of df that has any.
-
-    df has doc_id and text (not null). Lines count from 0, `to` is inside.
-    """
-    lines = common.materialize(line_rows(df), "lines")
-    found = common.materialize(fingerprints(lines, words), "fingerprints")
-    first = found.groupBy("fp").agg(F.min(F.struct(*KEY, "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, "fp").where(F.struct(*KEY, "at") != F.col("first"))
-    # Of adjacent places on one diagonal only the first is extended.
-    seeds = (
-        later.groupBy(*KEY, F.col("first.d").alias("d0"), F.col("first.th").alias("th0"), (F.col("at") - F.col("first.at")).alias("off"))
-        .agg(F.collect_set("at").alias("ats"))
-        .withColumn("at", F.explode(F.array_except("ats", F.transform("ats", lambda x: x + 1))))
-        .drop("ats")
-    )
-    seeds = common.materialize(seeds, "seeds")
-    involved = seeds.select(*KEY).union(seeds.select("d0", "th0")).distinct()
-    arrays = (
-        lines.join(involved, KEY, "left_semi")
-        .groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("at", "h", "line"))).alias("x"))
-        .select(*KEY, F.col("x.h").alias("hs"), F.col("x.line").alias("ln"))
-    )
-    arrays = common.materialize(arrays, "arrays")
-    both = seeds.join(arrays, KEY).join(arrays.select(F.col("d").alias("d0"), F.col("th").alias("th0"), F.col("hs").alias("hs0")), ["d0", "th0"])
-    at, at0 = F.col("at"), F.col("at") - F.col("off")
-    ahead = F.least(F.size("hs") - at, F.size("hs0") - at0)
-    behind = F.least(at, at0)
-    forward = _equal_run(_slice(F.col("hs"), at, ahead), _slice(F.col("hs0"), at0, ahead))
-    back = _equal_run(F.reverse(_slice(F.col("hs"), at - behind, behind)), F.reverse(_slice(F.col("hs0"), at0 - behind, behind)))
-    runs = both.select(*KEY, F.get("ln", at - back).alias("from"), F.get("ln", at + forward - 1).alias("to")).where("to is not null")
-    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs"))
+    order = Window.partitionBy(*KEY).orderBy("line")
+    words = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
+    return each.select("*", (F.row_number().over(order) - 1).alias("at"), (words - F.col("w")).alias("before"))
 
 
 def windows(lines: DataFrame, words: int = WORDS) -> DataFrame:
-    """d, th, from, to and the fingerprint (fp, fp2) of windows such that any two lines next to each other in a run of that many words are in one of the run's windows.
+    """d, th, from, to (lines), first, last (the same, by at), h and place: windows, and the hash and the line (by at) that each selects.
 
-    They are those that start at a line, those that end at a line, and lines that have the words alone with their next one.
+    Windows are such that any two lines next to each other in a run of that many words are in one of the run's windows:
+    those that start at a line, those that end at a line, and lines that have the words alone with their next one.
     """
     own = Window.partitionBy(*KEY)
-    after = F.sum("w").over(own.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     starting = own.orderBy("before").rangeBetween(0, words - 1)
     ending = own.orderBy("after").rangeBetween(-(words - 1), 0)
     following = own.orderBy("before").rowsBetween(0, 1)
 
     def window(frame, fits):
-        hs = F.collect_list("h").over(frame)
-        return F.struct(F.min("line").over(frame).alias("from"), F.max("line").over(frame).alias("to"), F.min("h").over(frame).alias("least"), hs.alias("all"), fits.alias("fits"))
+        ends = [f(c).over(frame).alias(n) for f, c, n in ((F.min, "line", "from"), (F.max, "line", "to"), (F.min, "at", "first"), (F.max, "at", "last"))]
+        return F.struct(*ends, F.min(F.struct("h", (-F.col("at")).alias("back"))).over(frame).alias("least"), fits.alias("fits"))
 
     # An ending window that would be short without its last line is a starting one too.
-    rows = lines.withColumn("after", after.cast("long")).withColumn("before", F.col("after") - F.col("w"))
-    found = rows.select(
+    found = lines.withColumn("after", F.col("before") + F.col("w")).select(
         *KEY,
         window(starting, F.sum("w").over(starting) >= words).alias("a"),
         window(ending, F.sum("w").over(ending) - F.col("w") >= words).alias("b"),
         window(following, (F.col("w") >= words) & (F.count("w").over(following) == 2)).alias("c"),
     )
     each = found.select(*KEY, F.explode(F.filter(F.array("a", "b", "c"), lambda x: x["fits"])).alias("x"))
-    return each.select(*KEY, "x.from", "x.to", F.xxhash64("x.least", "x.all").alias("fp"), F.xxhash64(F.lit(1), "x.all").alias("fp2"))
+    return each.select(*KEY, "x.from", "x.to", "x.first", "x.last", F.col("x.least.h").alias("h"), (-F.col("x.least.back")).alias("place"))
+
+
+def selected(found: DataFrame) -> DataFrame:
+    """One row for each place that a window selects: d, th, place and its fingerprint h."""
+    return found.select(*KEY, "place", "h").distinct()
+
+
+def _verifiable(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Windows (d, th, from, to) with the hashes k1 and k2 of all their lines."""
+    wanted = found.groupBy(*KEY).agg(F.collect_set(F.struct("from", "to", "first", "last")).alias("xs"))
+    whole = lines.groupBy(F.col("d").alias("d2"), F.col("th").alias("th2")).agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("all"))
+    both = wanted.join(whole, common.same(F.col("d"), F.col("d2")) & (F.col("th") == F.col("th2")))
 
+    def hashed(x, hs):
+        part = F.slice(hs, x["first"] + 1, x["last"] - x["first"] + 1)
+        return F.struct(x["from"].alias("from"), x["to"].alias("to"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"))
 
-def every_run(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """As repeated_runs, of passages that stand at any earlier place."""
-    found = common.materialize(windows(line_rows(df), words), "windows")
+    return both.select(*KEY, F.explode(common.let(F.col("all.h"), lambda hs: F.transform("xs", lambda x: hashed(x, hs)))).alias("x")).select(*KEY, "x.*")
+
+
+def repeated_runs(df: DataFrame, words: int = WORDS) -> DataFrame:
+    """d, th and runs: an array of (from, to), the lines of passages of each (doc_id, text) of df that stand at an earlier place too.
+
+    df has doc_id and text (not null). Lines count from 0, `to` is inside; runs don't overlap.
+    """
+    lines = common.materialize(line_rows(df), "lines")
+    found = common.materialize(windows(lines, words), "windows")
+    shared = selected(found).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    candidates = common.materialize(_verifiable(found.join(shared, "h", "left_semi"), lines), "candidates")
     place = F.struct(*KEY, "from")
-    first = found.groupBy("fp", "fp2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["fp", "fp2"]).where(place != F.col("first"))
+    first = candidates.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = candidates.join(first, ["k1", "k2"]).where(place != F.col("first"))
     # Windows that overlap become one run.
     order = Window.partitionBy(*KEY).orderBy("from", "to")
     reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = later.select(*KEY, "from", "to").withColumn("new", F.when(F.col("from") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = islands.groupBy(*KEY, "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
-    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("runs"))
+    return runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
 
 
-def line_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, added: bool = False, every: bool = False) -> DataFrame:
+def line_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, added: bool = False) -> DataFrame:
     """df without the later copies of repeated passages in its texts; with n_lines and n_deleted if `added`.
 
     A passage is a run of whole lines, compared without spaces at their ends
     and with lines without words left out, of `words` words or more. It
     repeats if the same lines stand at an earlier place: in a row with a
-    smaller doc_id, in one with the same doc_id and another text, or further up. The earliest place stays. Without `every`, a passage is compared with the first place of each of its windows alone. Runs that
-    overlap their own copy lose all but what comes first. Null texts stay
-    null, and a text whose lines all go becomes empty. Rows that repeat both doc_id and text count
-    once and are cut alike. A null doc_id comes before any other. Rows and
-    other columns all stay; an empty table gives an empty one.
+    smaller doc_id, in one with the same doc_id and another text, or further up. The
+    earliest place stays. Runs that overlap their own copy lose all but what
+    comes first. Null texts stay null, and a text whose lines all go becomes
+    empty. Rows that repeat both doc_id and text count once and are cut alike. A
+    null doc_id comes before any other; doc_ids may be of any type that has an order. Very
+    long texts are one row of line hashes in memory. Rows and other columns all
+    stay, but columns named n_lines or n_deleted are replaced if `added`; an empty table gives an empty one.
     """
     common.prepare(df.sparkSession)
-    found = every_run if every else repeated_runs
-    runs = common.materialize(found(df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words), "runs")
+    if added:
+        df = df.drop("n_lines", "n_deleted")
+    rows = df.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    runs = common.materialize(repeated_runs(rows, words).toDF("d", "th", "runs"), "runs")
     names = [f"c{i}" for i in range(len(df.columns))]
     at = df.columns.index(text)
     inner = df.toDF(*names)
-    t = F.col(names[at])
-    keyed = inner.withColumns({"d": F.coalesce(F.col(names[df.columns.index(doc_id)]).cast("long"), F.lit(LEAST)), "th": F.xxhash64(t)})
-    joined = keyed.join(common.checked_broadcast(runs, runs.count()), KEY, "left")
+    t, key = F.col(names[at]), F.col(names[df.columns.index(doc_id)])
+    joined = inner.join(common.checked_broadcast(runs), common.same(key, F.col("d")) & (F.xxhash64(t) == F.col("th")) & t.isNotNull(), "left")
     split = F.split(t, "\n")
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["from"], r["to"])))
 
-    def gone(i):
-        return F.exists("runs", lambda r: (r["from"] <= i) & (i <= r["to"]))
+    def cut(parts):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+        return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
 
-    cut = F.array_join(F.filter(split, lambda x, i: ~gone(i)), "\n")
-    new = F.when(F.col("runs").isNull(), t).otherwise(cut)
-    deleted = F.when(F.col("runs").isNull(), 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(split) - 1), gone)))
+    new = F.when(F.col("runs").isNull(), t).otherwise(common.let(split, cut))
+    deleted = F.when(F.col("runs").isNull(), 0).otherwise(F.aggregate("runs", F.lit(0), lambda n, r: n + r["to"] - r["from"] + 1))
     out = joined.select(
         *[(new if i == at else F.col(n)).alias(n) for i, n in enumerate(names)],
         *([F.when(t.isNull(), 0).otherwise(F.size(split)).alias("n_lines"), F.when(t.isNull(), 0).otherwise(deleted).alias("n_deleted")] if added else []),

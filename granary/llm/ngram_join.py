@@ -235,7 +235,7 @@ class _Join:
         """id, n, ord and x of the rows with these ids, from their texts."""
         wanted = common.materialize(self.rows.join(ids, "id", "left_semi"), "wanted", narrow=True)
         names = wanted.select(F.col("doc_id").alias("w")).distinct()
-        small = common.checked_broadcast(names, wanted.count())
+        small = common.checked_broadcast(common.materialize(names, "names", narrow=True))
         texts = self.docs.join(small, common.same(F.col("doc_id"), F.col("w")), "left_semi")
         found = _set_rows(texts, last).select("h1", "h2", "ord", "x")
         return found.join(wanted.select("id", "h1", "h2", "n"), ["h1", "h2"]).select("id", "n", "ord", "x").dropDuplicates(["id"])

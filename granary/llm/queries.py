@@ -44,7 +44,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.line_dedup import line_dedup
 
-    done = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"), added=True, every=True)
+    done = line_dedup(common.documents(spark, sf_dir).select("doc_id", "text"), added=True)
     return done.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
@@ -67,7 +67,7 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
     rows = labels.select("doc_id", domain.alias("domain")).dropna()
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    return docs.join(common.checked_broadcast(rows, rows.count()), "doc_id").select("text", "domain")
+    return docs.join(common.checked_broadcast(rows), "doc_id").select("text", "domain")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

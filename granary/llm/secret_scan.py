@@ -19,11 +19,14 @@ from re import _parser as regex_parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from granary.llm import common
 
 #: Ids of a posting list at most.
 POSTINGS = 4096
+#: Matches of a text whose places are added up at once.
+BLOCK = 256
 #: Alternatives of an exact set of strings before it turns into a query.
 EXACT = 64
 
@@ -177,16 +180,23 @@ def spans(rule: Rule, text: str = "text") -> Column:
     """Array of (start, end, kind) of a rule's matches, leftmost and not overlapping, failing ones left out.
 
     The text between matches and the matches themselves take turns; their
-    lengths, in code points, add up to where each match stands.
+    lengths, in code points, add up to where each match stands. They are
+    added up by blocks, so that no list of all matches so far is copied for each match.
     """
     regex = F.lit(rule.regex)
     whole = F.regexp_extract_all(text, regex, F.lit(0))
     checked = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.least else whole
-    gaps = F.split(text, rule.regex, -1)
     kind = F.lit(KINDS.index(rule.kind))
-    sized = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size"), F.length(F.get(checked, i)).alias("part")))
     empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    numbers = F.array().cast("array<int>")
+
+    def sized(m):
+        return F.struct(F.coalesce(F.length(m["gap"]), F.lit(0)).alias("gap"), F.length(m["whole"]).alias("size"), F.length(m["part"]).alias("part"))
+
+    def ahead(totals):
+        """For each number the sum of those before it."""
+        start = F.struct(F.lit(0).alias("at"), numbers.alias("all"))
+        return F.aggregate(totals, start, lambda done, t: F.struct((done["at"] + t).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")), lambda done: done["all"])
 
     def step(done, m):
         begin = done["at"] + m["gap"]
@@ -194,7 +204,18 @@ def spans(rule: Rule, text: str = "text") -> Column:
         own = F.array(F.struct(begin.alias("start"), end.alias("end"), kind.alias("kind")))
         return F.struct(end.alias("at"), F.when(m["part"] >= rule.least, F.concat(done["found"], own)).otherwise(done["found"]).alias("found"))
 
-    return F.when(F.size(whole) == 0, empty).otherwise(F.aggregate(sized, start, step, lambda done: done["found"]))
+    def placed(ms):
+        def block(b):
+            return F.slice(ms, b * BLOCK + 1, F.lit(BLOCK))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(ms) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda b: F.aggregate(block(b), F.lit(0), lambda n, m: n + m["gap"] + m["size"]))
+        return F.flatten(F.transform(ahead(totals), lambda at, b: F.aggregate(block(b), F.struct(at.alias("at"), empty.alias("found")), step, lambda done: done["found"])))
+
+    # The last gap follows the last match; the pad keeps the three lists as long as each other.
+    zipped = common.let(whole, lambda w: F.when(F.size(w) == 0, F.lit(None)).otherwise(F.arrays_zip(w.alias("whole"), F.split(text, rule.regex, -1).alias("gap"), (checked if rule.least else w).alias("part"))))
+    matches = F.transform(F.filter(zipped, lambda m: m["whole"].isNotNull()), sized)
+    return F.coalesce(common.let(matches, lambda ms: F.when(F.size(ms) > 0, placed(ms))), empty)
 
 
 def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = (*BASE, *FURTHER)) -> DataFrame:
@@ -202,18 +223,22 @@ def scan_secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rule
 
     kind is an index into KINDS; start and end count code points, the end is
     outside. Null and empty texts have no matches. Rows that repeat a
-    doc_id are scanned each; rows whose doc_id is null too. An empty table
-    gives an empty one. Other columns aren't read.
+    doc_id are scanned each; rows whose doc_id is null too. A doc_id may be of
+    any type. Time is in proportion to a text's length and matches, which all are in memory at once. An
+    empty table gives an empty one. Other columns aren't read.
     """
     common.prepare(df.sparkSession)
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("row", F.coalesce("doc_id", F.lit(0)).cast("long"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Two rows may share a number: a candidate is verified in any case.
+    whole = isinstance(rows.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    rows = rows.withColumn("row", F.coalesce(F.col("doc_id").cast("long") if whole else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), F.lit(0)))
     wanted = sorted(set().union(*map(trigrams, indexed.values())))
     if wanted:
         index = postings(rows, wanted)
         found = common.materialize(candidates(index, indexed), "candidates")
-        rows = rows.join(common.checked_broadcast(found, found.count()), "row", "left")
+        rows = rows.join(common.checked_broadcast(found), "row", "left")
     else:
         rows = rows.withColumn("kinds", F.array().cast("array<string>"))
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
