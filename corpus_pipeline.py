@@ -32,7 +32,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without later copies of repeated passages; those that nothing is left of go."""
     from granary.llm.line_dedup import line_dedup
 
-    cut = line_dedup(docs, every=True).where(F.length(F.trim("text")) > 0)
+    cut = line_dedup(docs).where(F.length(F.trim("text")) > 0)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     groups = common.materialize(ngram_join(docs).where(common.same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("own")), "kept")
     names = common.materialize(groups.distinct(), "names")
-    kept = docs.join(common.checked_broadcast(names, names.count()), common.same(F.col("doc_id"), F.col("own")), "left_semi")
+    kept = docs.join(common.checked_broadcast(names), common.same(F.col("doc_id"), F.col("own")), "left_semi")
     if groups.where("own is not null").count() > names.where("own is not null").count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
     return kept.select(*docs.columns)
