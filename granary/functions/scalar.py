@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def int_div(a: Column, b: Column) -> Column:
     """Whole quotient of integers, cut towards zero; division by zero gives an error."""
-    return ((a - a % b) / b).cast("bigint")
+    return F.call_function("div", a, b)
 
 
 def all_of(*parts: Column) -> Column:

@@ -16,8 +16,8 @@ from granary.functions.aggregate import MERGES, aggregate
 
 #: Join strategies: hints, or partitioning both sides by the keys ahead of the join.
 STRATEGIES = {"auto": None, "broadcast": "broadcast", "hash": "shuffle_hash", "merge": "merge", "shuffle_stage": None, "probe_shuffle": None}
-#: Rows of a side that may be broadcast where a plan asks for it; above, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes, by Spark's statistics, of a side that may be broadcast where a plan asks for it; above, the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:
@@ -32,15 +32,15 @@ def project(df: DataFrame, keep=(), rename=None, compute=None) -> DataFrame:
 
 
 def _small(df: DataFrame, limit: int) -> bool:
-    """Whether df has at most that many rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether df has at most that many bytes by the optimizer's statistics; nothing runs for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
-def join(probe: DataFrame, build: DataFrame, on: list[tuple[str, str]] | list[str], how: str = "inner", strategy: str = "auto") -> DataFrame:
+def join(probe: DataFrame, build: DataFrame, on: list[tuple[str, str]] | list[str], how: str = "inner", strategy: str = "auto", residual: Column | None = None) -> DataFrame:
     """Equi-join: columns of the probe side, then of the build side. Null keys match nothing.
 
-    on: pairs of column names (probe, build), or common names. strategy:
-    auto; broadcast (the build side is copied if it is small by count, else the
+    on: pairs of column names (probe, build), or common names. residual: a condition that pairs must meet besides. strategy:
+    auto; broadcast (the build side is copied if it is small by its statistics, else the
     join shuffles); hash or merge (shuffled); shuffle_stage (both sides are
     partitioned by the keys in stages of their own); probe_shuffle (the probe side is).
     """
@@ -52,11 +52,12 @@ def join(probe: DataFrame, build: DataFrame, on: list[tuple[str, str]] | list[st
         if strategy == "shuffle_stage":
             build = build.repartition(*[F.col(b) for _, b in pairs])
     hint = STRATEGIES[strategy]
-    if hint == "broadcast" and not _small(build, BROADCAST_ROWS):
+    if hint == "broadcast" and not _small(build, BROADCAST_BYTES):
         hint = None
     if hint:
         build = build.hint(hint)
-    return probe.join(build, reduce(lambda x, y: x & y, [probe[a] == build[b] for a, b in pairs]), how)
+    keys = [probe[a] == build[b] for a, b in pairs]
+    return probe.join(build, reduce(lambda x, y: x & y, keys if residual is None else [*keys, residual]), how)
 
 
 def cross_join(probe: DataFrame, build: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -111,9 +112,10 @@ def limit(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def gather(df: DataFrame) -> DataFrame:
-    """One partition. For small results alone."""
-    return df.repartition(1)
+def gather(df: DataFrame, *keys) -> DataFrame:
+    """One partition, in order of keys if there are any. For small results alone."""
+    one = df.repartition(1)
+    return one.sortWithinPartitions(*_orders(keys)) if keys else one
 
 
 def repartition(df: DataFrame, *keys, parts: int | None = None) -> DataFrame:
@@ -121,6 +123,6 @@ def repartition(df: DataFrame, *keys, parts: int | None = None) -> DataFrame:
     return df.repartition(*([parts] if parts else []), *keys) if keys or parts else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def replicate(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A copy for every task if df has at most that many rows, else df as it is."""
-    return F.broadcast(df) if _small(df, rows) else df
+def replicate(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A copy for every task if df has at most that many bytes by its statistics, else df as it is."""
+    return F.broadcast(df) if _small(df, limit) else df

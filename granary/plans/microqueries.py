@@ -73,9 +73,17 @@ def _(t):
     return r.join(t("supplier"), _renamed(t("supplier"), "2"), [("s_suppkey", "s_suppkey2")]).select("s_suppkey", "s_nationkey", "s_suppkey2", "s_nationkey2")
 
 
-@query("join_nation_keys", "SELECT s1.s_suppkey, s1.s_nationkey, s2.s_suppkey AS s_suppkey2, s2.s_nationkey AS s_nationkey2 FROM supplier s1, supplier s2 WHERE s1.s_nationkey = s2.s_nationkey")
+@query("join_nation_keys", "SELECT s1.s_nationkey, count(*) AS n, CAST(sum(s1.s_suppkey * s2.s_suppkey) AS BIGINT) AS product FROM supplier s1, supplier s2 WHERE s1.s_nationkey = s2.s_nationkey GROUP BY ALL")
 def _(t):
-    return r.join(t("supplier"), _renamed(t("supplier"), "2"), [("s_nationkey", "s_nationkey2")]).select("s_suppkey", "s_nationkey", "s_suppkey2", "s_nationkey2")
+    """Pairs grow with the square of suppliers: they are counted, not listed."""
+    rows = r.join(t("supplier"), _renamed(t("supplier"), "2"), [("s_nationkey", "s_nationkey2")])
+    return r.group(rows.withColumn("product", F.col("s_suppkey") * F.col("s_suppkey2")), ["s_nationkey"], n="count_all", product=("sum", "product"))
+
+
+@query("join_nation_keys_rows", "SELECT s1.s_suppkey, s1.s_nationkey, s2.s_suppkey AS s_suppkey2, s2.s_nationkey AS s_nationkey2 FROM supplier s1, supplier s2 WHERE s1.s_nationkey = s2.s_nationkey AND s1.s_suppkey < 5")
+def _(t):
+    few = t("supplier").filter("s_suppkey < 5")
+    return r.join(few, _renamed(t("supplier"), "2"), [("s_nationkey", "s_nationkey2")]).select("s_suppkey", "s_nationkey", "s_suppkey2", "s_nationkey2")
 
 
 @query("join_two_keys", "SELECT count(*) AS n FROM lineitem a, (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey FROM lineitem GROUP BY 1, 2) WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey")
@@ -164,6 +172,7 @@ for _name, _expression, _sql in (
     ("multiply", lambda: s.call("multiply", _c("l_quantity"), _c("l_extendedprice")), "l_quantity * l_extendedprice"),
     ("divide_double", lambda: s.call("divide", _c("l_extendedprice"), _c("l_quantity")), "l_extendedprice / l_quantity"),
     ("divide_bigint", lambda: s.call("int_div", _c("l_partkey"), _c("l_suppkey") + 1), "l_partkey // (l_suppkey + 1)"),
+    ("divide_large", lambda: s.call("int_div", _c("l_partkey") + F.lit(9007199254740992), _c("l_linenumber")), "(l_partkey + 9007199254740992) // l_linenumber"),
     ("divide_negative", lambda: s.call("int_div", -_c("l_partkey"), F.lit(7)), "(-l_partkey) // 7"),
     ("mod", lambda: s.call("mod", _c("l_partkey"), F.lit(7)), "l_partkey % 7"),
     ("mixed_types", lambda: s.call("add", _c("l_partkey"), _c("l_extendedprice")), "l_partkey + l_extendedprice"),
@@ -236,6 +245,36 @@ for _name, (_a, _sql) in _AGGREGATES.items():
     )
 
 
+@query("agg_min_max", "SELECT min(l_tax) AS low, max(l_tax) AS high FROM lineitem")
+def _(t):
+    return r.group(t("lineitem"), x=("min_max", "l_tax")).select(F.col("x.min").alias("low"), F.col("x.max").alias("high"))
+
+
+@query("agg_distinct", "SELECT count(DISTINCT l_linenumber) AS n, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS total FROM lineitem")
+def _(t):
+    found = r.group(t("lineitem"), x=("distinct", "l_linenumber"))
+    return found.select(F.size("x").cast("bigint").alias("n"), F.aggregate("x", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
+
+
+def _near_middle(t, keys):
+    """Whether the approximate median's rank is within a thousandth of the middle."""
+    rows = t("lineitem")
+    found = r.group(rows, keys, m=("approximate_median", "l_extendedprice"))
+    both = rows.join(F.broadcast(found), keys) if keys else r.cross_join(rows, F.broadcast(found))  # one row for each group
+    rank = r.group(both.withColumns({"below": (F.col("l_extendedprice") < F.col("m")).cast("int"), "upto": (F.col("l_extendedprice") <= F.col("m")).cast("int")}), keys, low=("mean", "below"), high=("mean", "upto"))
+    return rank.select(*keys, ((F.col("low") <= 0.501) & (F.col("high") >= 0.499)).alias("near"))
+
+
+@query("agg_approximate_median_rank", "SELECT true AS near")
+def _(t):
+    return _near_middle(t, [])
+
+
+@query("agg_hash_approximate_median_rank", "SELECT DISTINCT l_returnflag, l_linestatus, true AS near FROM lineitem")
+def _(t):
+    return _near_middle(t, ["l_returnflag", "l_linestatus"])
+
+
 @query("agg_hash_min_max", "SELECT l_returnflag, min(l_tax) AS low, max(l_tax) AS high FROM lineitem GROUP BY ALL")
 def _(t):
     return r.group(t("lineitem"), ["l_returnflag"], x=("hash_min_max", "l_tax")).select("l_returnflag", F.col("x.min").alias("low"), F.col("x.max").alias("high"))
