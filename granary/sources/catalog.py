@@ -106,11 +106,30 @@ def write_delimited(df: DataFrame, path: str, files: int | None = None) -> None:
     (rows.repartition(files) if files else rows).write.csv(path, sep="|", header=True, emptyValue="")
 
 
+#: Bytes that a task reads of a table, where that isn't left to the session.
+SCAN_BYTES: dict[str, int] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table of a data folder; partsupp, which there isn't, from lineitem."""
     if name == "partsupp":
         return partsupp(load(spark, sf_dir, "lineitem"))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read
+    if name in SCAN_BYTES:  # files are dealt out again; a reader's split size is the session's
+        df = reader.parquet(f"{sf_dir}/{name}.parquet")
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return df.repartition(max(1, -(-size // SCAN_BYTES[name])))
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def set_scan_size(name: str, size: int | None) -> None:
+    """Have tasks take about that many bytes of a table, for the queries that follow; None: as the session has it."""
+    if size is None:
+        SCAN_BYTES.pop(name, None)
+    elif size <= 0:
+        raise ValueError("a scan size is above 0")
+    else:
+        SCAN_BYTES[name] = size
 
 
 def partsupp(lineitem: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small tables: duplicates, nulls, empties, ties."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from granary.functions import scalar as s
 from granary.operators import relational as r
 from granary.plans import surface, tuning
-from granary.plans.handles import FINISHED, QueryManager
+from granary.plans.handles import FINISHED, QueryManager, draw
 from granary.plans.script import Runner, ScriptError, parse
 from granary.sources import catalog, generator
 
@@ -150,6 +151,9 @@ def test_queries_in_the_background(spark):
     m = QueryManager(spark, "", queries)
     h = m.start("three")
     assert len(h.result()) == 3 and h.state == FINISHED and h.plan() and '"id": 2' in h.result_json()
+    assert [r.id for r in h.rows()] == [0, 1, 2] and h.count() == 3 and [r.id for r in h.result(1, 2)] == [2]
+    assert json.loads(h.plan_json())["name"] and draw(json.loads(h.plan_json())).count("Range") == 1
+    h.close()
     with pytest.raises(Exception):
         m.start("bad").result()
     with pytest.raises(KeyError):
@@ -157,12 +161,65 @@ def test_queries_in_the_background(spark):
     assert {x["name"] for x in m.list()} == {"three", "bad"}
 
 
+def test_results_keep_their_order_and_names(spark):
+    m = QueryManager(spark, "", {"sorted": lambda sp, d: sp.range(5000).repartition(7).orderBy(F.desc("id")).selectExpr("id", "NULL AS id")})
+    h = m.start("sorted")
+    assert [r[0] for r in h.rows()] == list(range(4999, -1, -1)) and h.table().columns == ["id", "id"]
+    h.close()
+
+
+def test_monitor(spark, tmp_path):
+    m = QueryManager(spark, "", {"three": lambda sp, d: sp.range(3)})
+    h = m.start("three")
+    h.monitor(str(tmp_path / "log")).join(60)
+    lines = [json.loads(x) for x in (tmp_path / "log").read_text().splitlines()]
+    assert lines[-1]["state"] == FINISHED and lines[-1]["Type"] == "TP" and lines[-1]["TimeStamp"] > 0
+    h.close()
+
+
+def test_tuner_manager(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    m = QueryManager(spark, "", {"slow": lambda sp, d: sp.range(1000).groupBy((F.col("id") % 7).alias("k")).count()})
+    tuner = tuning.TunerManager(m, tuning.TunerPlan({"slow": 1e-6}))
+    tuner.run("slow").close()
+    assert tuner.chosen["slow"] == int(before) * tuning.FALLBACK and tuner.log[-1]["target"] == 1e-6
+    tuner.run("slow").close()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == str(int(before) * tuning.FALLBACK)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_scan_size_of_one_table(spark, tmp_path):
+    spark.range(100_000).write.parquet(str(tmp_path / "t.parquet"))
+    try:
+        catalog.set_scan_size("t", 100_000)
+        df = catalog.load(spark, str(tmp_path), "t")
+        assert df.rdd.getNumPartitions() >= 2 and df.count() == 100_000
+    finally:
+        catalog.set_scan_size("t", None)
+    with pytest.raises(ValueError):
+        catalog.set_scan_size("t", 0)
+
+
+def test_forms_that_gather_are_in_order(spark):
+    from granary.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("q2_minimum_cost_supplier", "q2_minimum_cost_supplier_single"):
+        got = [(-x.s_acctbal, x.n_name, x.s_name, x.p_partkey) for x in registry.queries()[name](spark, sf).collect()]
+        assert got == sorted(got)
+    for name in ("q3_shipping_priority_single", "q3_shipping_priority_hash"):
+        got = [(-x.revenue, x.o_orderdate, x.l_orderkey) for x in registry.queries()[name](spark, sf).collect()]
+        assert got == sorted(got) and len(got) > 3
+
+
 def test_script(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     m = QueryManager(spark, "", {"three": lambda sp, d: sp.range(3)})
-    log = Runner(m).run("BEGIN; START_AND_COLLECT three; WAIT_QUERY 10; ADD_CONCURRENCY 2; ECHO done, now; R_CONFIG table_scan_size, 1000000; END;")
+    log = Runner(m).run("BEGIN; START_AND_COLLECT three; WAIT_QUERY 10; ADD_CONCURRENCY 2; ECHO done, now; R_CONFIG table_scan_size, 1000000; ADD_PARALLELISM QUERY,3; ADD_PARALLELISM STAGE,1,2; ADD_PARALLELISM_TO_INIT QUERY,1; LISTEN BUILD,STAGE,0; PREDICT_TIME 2; PREDICT_TIME 0,2; R_CONFIG SET_TABLE_SCAN_SIZE,lineitem,1000000; R_CONFIG task_group_close_mode,true; END;")
+    catalog.set_scan_size("lineitem", None)
+    assert f"shuffle partitions: {2 * int(before) + 5}" in log and f"shuffle partitions: {int(before) + 1}" in log and "three: stage 0 is done" in log
     assert log[1] == "three: 3 rows" and "done, now" in log
     spark.conf.set("spark.sql.shuffle.partitions", before)
-    for bad in ("START_QUERY x;", "BEGIN; NONE; END;", "BEGIN; START_QUERY; END;", "BEGIN; END"):
+    for bad in ("START_QUERY x;", "BEGIN; NONE; END;", "BEGIN; START_QUERY; END;", "BEGIN; END", "BEGIN; LISTEN STAGE,1,2; END;", "BEGIN; ADD_PARALLELISM STAGE,1; END;", "BEGIN; R_CONFIG SET_TABLE_SCAN_SIZE,t,x; END;"):
         with pytest.raises(ScriptError):
             parse(bad)
