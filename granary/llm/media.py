@@ -12,44 +12,93 @@ from pyspark.sql import DataFrame
 from granary.llm import common, webp
 
 UNIT = 64
+#: Bits that a transform's own image takes.
+TABLE = 120
+#: Share of bytes that a neighbour repeats, or of a channel's variance that green tells, from which on a transform is tried.
+PROMISE = 0.2
+#: Pixels of the largest image that is decoded from a file of unknown origin.
+LARGEST = 1 << 26
 SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def shape(size: int) -> tuple[int, int, int]:
-    """Rows, pixels of a row, and padding rows of 64 bytes for a payload of that size.
+def estimated(image: np.ndarray) -> float:
+    """Bits that the four channels of an image take by themselves."""
+    own = image.ravel().view(np.uint8).reshape(-1, 4) + np.array([0, 256, 512, 768], np.int64)
+    counts = np.bincount(own.ravel(), minlength=1024)
+    counts = counts[counts > 0]
+    return 4 * image.size * np.log2(image.size) - float((counts * np.log2(counts)).sum())
+
+
+def _told(by: np.ndarray, of: np.ndarray) -> tuple[int, float]:
+    """How much of one channel another tells, in 32nds, as the format has it; and the share of the variance that this is."""
+    x, y = by.view(np.int8).astype(np.float32), of.view(np.int8).astype(np.float32)
+    x -= x.mean()
+    y -= y.mean()
+    xx, xy, yy = float(x @ x), float(x @ y), float(y @ y)
+    return int(np.clip(np.rint(32 * xy / max(xx, 1e-9)), -128, 127)), xy * xy / max(xx * yy, 1e-9)
+
+
+def transforms(pixels: np.ndarray) -> dict:
+    """The predictor (the left or the upper pixel) and the cross-colour factors that promise anything and make the estimate less."""
+    image = webp._packed(pixels[..., [2, 1, 0, 3]])
+    out, best = {}, None
+    for mode, same in ((1, pixels[:, 1:] == pixels[:, :-1]), (2, pixels[1:] == pixels[:-1])):
+        if np.count_nonzero(same) > PROMISE * same.size:
+            best = estimated(image) if best is None else best
+            rest = webp.residuals(image, mode)
+            if (bits := estimated(rest) + TABLE) < best:
+                best, out["predictor"], kept = bits, mode, rest
+    if "predictor" in out:
+        image = kept
+    c = image.ravel().view(np.uint8).reshape(-1, 4)
+    green, red, blue = (np.ascontiguousarray(c[:, i]) for i in (1, 2, 0))
+    cross = tuple(slope if share > PROMISE else 0 for slope, share in (_told(green, red), _told(green, blue)))
+    if any(cross):
+        best = estimated(image) if best is None else best
+        table = np.full((webp._blocks(image.shape[0], 9), 1), (cross[0] & 255) | (cross[1] & 255) << 8, np.uint32)
+        if estimated(webp.cross_colour(image, table, 9, False)) + TABLE < best:
+            out["cross"] = (*cross, 0)
+    return out
+
 
-    A row is 16 pixels (64 bytes) up to 1 MiB; wider, by whole units, beyond.
+def image(payload: bytes) -> bytes:
+    """A lossless WebP file of bytes, whose number is a multiple of 64. How it is stored follows from the bytes alone.
+
+    A row is 64 bytes: 16 pixels of four (red, green, blue, alpha) if most pixels then occur again or a transform
+    pays, with a palette for up to 256 colours, else a colour cache; otherwise 64 pixels whose green is the byte,
+    with a palette for up to 16 values, which then share bytes.
     """
-    rows = size // UNIT
-    wide = -(-rows // webp.MOST)
-    if wide * 16 > webp.MOST:
-        raise ValueError("a payload of over 1 GiB doesn't fit an image")
-    high = -(-rows // wide)
-    return high, 16 * wide, high * wide - rows
+    four = np.frombuffer(payload, np.uint8).reshape(-1, UNIT // 4, 4)
+    ordered = np.sort(four.view("<u4"), axis=None)
+    colours = 1 + int(np.count_nonzero(ordered[1:] != ordered[:-1]))
+    again = 2 * colours <= ordered.size
+    if again and colours <= 256:
+        return webp.encode(four, 0, palette=True)
+    pays = transforms(four)
+    if again or pays:
+        return webp.encode(four, int(np.clip(np.log2(ordered.size) - 3, 1, 10)), bits=9, **pays)
+    one = np.zeros((len(four), UNIT, 4), np.uint8)
+    one[..., 1], one[..., 3] = four.reshape(-1, UNIT), 255
+    return webp.encode(one, 0, palette=np.count_nonzero(np.bincount(one[..., 1].ravel())) <= 16, shortest=8)
 
 
 def store(data: bytes) -> bytes:
-    """data, padded with zeros to a positive multiple of 64, as a lossless WebP file.
+    """data, padded with zeros to a positive multiple of 64, as lossless WebP files one after another.
 
-    Beyond 1 MiB the image may hold further rows of padding; their number
-    follows in a chunk of its own ("ROWS"), which image readers skip.
+    An image has 16,384 rows of 64 bytes at most; what goes beyond is the next file.
     """
-    size = max(UNIT, -(-len(data) // UNIT) * UNIT)
-    high, wide, extra = shape(size)
-    pixels = np.frombuffer(data.ljust(size + extra * UNIT, b"\0"), np.uint8).reshape(high, wide, 4)
-    out = webp.encode_plain(pixels)
-    if extra:
-        body = out[12:] + b"ROWS" + (4).to_bytes(4, "little") + extra.to_bytes(4, "little")
-        out = b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
-    return out
+    payload = data.ljust(max(UNIT, -(-len(data) // UNIT) * UNIT), b"\0")
+    return b"".join(image(payload[i : i + UNIT * webp.MOST]) for i in range(0, len(payload), UNIT * webp.MOST))
 
 
-def load(media: bytes) -> tuple[np.ndarray, bytes]:
-    """The pixels of a stored file, and its payload."""
-    pixels = webp.decode(media)
-    extra = next((int.from_bytes(body, "little") for name, body in webp.chunks(media) if name == b"ROWS"), 0)
-    payload = pixels.tobytes()
-    return pixels, payload[: len(payload) - extra * UNIT] if extra else payload
+def load(media: bytes) -> tuple[list[np.ndarray], bytes]:
+    """The pixels of stored files, and the payload that they make: all bytes of 16 pixels a row, the green ones of 64."""
+    out, at = [], 0
+    while at < len(media):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        out.append(webp.decode(media[at : at + size]))
+        at += size
+    return out, b"".join((p if p.shape[1] < UNIT else p[..., 1]).tobytes() for p in out)
 
 
 def feature(pixels: np.ndarray) -> str:
@@ -65,7 +114,7 @@ def digest(text: str | None) -> tuple:
     pixels, payload = load(media)
     return (
         len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]),
-        len(media), hashlib.sha256(media).hexdigest(), feature(pixels),
+        len(media), hashlib.sha256(media).hexdigest(), ";".join(map(feature, pixels)),
     )
 
 
@@ -73,7 +122,8 @@ def media_digests(df: DataFrame, text: str = "text") -> DataFrame:
     """df with the digest columns of its texts stored as WebP and read back.
 
     The columns are those of SCHEMA; columns of df with these names are
-    replaced, all others stay. A null text counts as empty: 64 zero bytes.
+    replaced, all others stay. A null text counts as empty: 64 zero bytes. A
+    long text takes several images, of a mebibyte each but the last.
     Rows are independent and stay where they lie, so repeated rows and ties
     need no rule; an empty table gives an empty one.
     """
@@ -84,17 +134,17 @@ def media_digests(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = [digest(t) for t in batch.column(at).to_pylist()]
+            rows = [digest(batch.column(at)[i].as_py()) for i in range(batch.num_rows)]
             own = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[f"c{i}" for i in range(batch.num_columns + len(own))])
 
     return common.map_arrow(df, run, SCHEMA)
 
 
-def pixel_arrays(df: DataFrame, media: str = "media") -> DataFrame:
+def pixel_arrays(df: DataFrame, media: str = "media", largest: int = LARGEST) -> DataFrame:
     """df with width, height and pixels (RGBA bytes, row by row) of lossless WebP files in a binary column.
 
-    Null files, and bytes that aren't a lossless WebP file, give nulls.
+    Null files, bytes that aren't a lossless WebP file, and images of more than `largest` pixels (a few bytes can claim 2 ** 28) give nulls.
     Columns of df with these names are replaced, all others stay.
     """
     common.prepare(df.sparkSession)
@@ -103,7 +153,7 @@ def pixel_arrays(df: DataFrame, media: str = "media") -> DataFrame:
 
     def one(data):
         try:
-            p = webp.decode(bytes(data)) if data is not None else None
+            p = webp.decode(bytes(data), largest) if data is not None else None
         except webp.Corrupt:
             p = None
         return (None, None, None) if p is None else (p.shape[1], p.shape[0], p.tobytes())

@@ -1,14 +1,9 @@
-"""Lossless WebP: a decoder in numpy, and an encoder to store bytes with.
+"""Lossless WebP: a decoder, and an encoder over numpy arrays.
 
 `decode` reads the container, the transforms (predictor, cross-colour,
 subtract-green, palette), prefix codes, back-references and the colour cache,
-undoes the transforms and gives the pixels. Where an image has one group of
-prefix codes that are all eight bits long and nothing else, its pixel stream is a
-permuted byte stream, which is decoded as a whole array; every other image
-is decoded symbol by symbol.
-
-`encode_plain` writes images of that first kind; `encode` also writes
-transforms, variable-length codes, back-references and a colour cache.
+undoes the transforms and gives the pixels. `encode` writes prefix codes, back-references
+and, as asked for, a colour cache and the transforms.
 """
 
 from __future__ import annotations
@@ -38,9 +33,6 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Largest width and height of an image.
 MOST = 16384
 
-REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
-
-
 class Corrupt(ValueError):
     """The bytes aren't a lossless WebP image."""
 
@@ -55,10 +47,6 @@ class Reader:
         at = self.pos >> 3
         return (int.from_bytes(self.data[at : at + 8], "little") >> (self.pos & 7)) & ((1 << n) - 1)
 
-    def peek_is(self, value: int, n: int) -> bool:
-        at = self.pos >> 3
-        return (int.from_bytes(self.data[at : at + n // 8 + 2], "little") >> (self.pos & 7)) & ((1 << n) - 1) == value
-
     def bits(self, n: int) -> int:
         value = self.peek(n)
         self.pos += n
@@ -68,38 +56,44 @@ class Reader:
 
 
 class Code:
-    """A canonical prefix code: a table by the next bits, or its only symbol."""
+    """A canonical prefix code: symbols and their sizes by the next bits, or the only symbol."""
 
     def __init__(self, lengths):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        if not used:
+        lengths = np.asarray(lengths)
+        used = np.flatnonzero(lengths)
+        if not len(used):
             raise Corrupt("a prefix code has no symbol")
-        self.only = used[0][1] if len(used) == 1 else None
-        self.lengths = list(lengths)
+        self.only = int(used[0]) if len(used) == 1 else None
         self.most = 0
-        if self.only is not None:
-            return
-        if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
-            raise Corrupt("a prefix code isn't complete")
-        self.most = max(n for n, _ in used)
-        self.table = table = [(0, 0)] * (1 << self.most)
-        code, before = 0, 0
-        for n, s in sorted(used):
-            code <<= n - before
-            before = n
-            low = int(f"{code:0{n}b}"[::-1], 2)
-            for i in range(low, 1 << self.most, 1 << n):
-                table[i] = (s, n)
-            code += 1
-
+        self.symbols, self.sizes = np.array(used[:1], np.int64), np.zeros(1, np.int64)
+        if self.only is None:
+            sizes = lengths[used]
+            if int((1 << (15 - sizes)).sum()) != 1 << 15:
+                raise Corrupt("a prefix code isn't complete")
+            order = np.argsort(sizes, kind="stable")
+            self.most = int(sizes.max())
+            # In order of size and symbol the codes, with their first bit on top, share out all numbers of `most` bits.
+            repeat = 1 << (self.most - sizes[order])
+            turned = _turned(self.most)
+            self.symbols = np.repeat(used[order], repeat)[turned]
+            self.sizes = np.repeat(sizes[order], repeat)[turned]
     def read(self, r: Reader) -> int:
         if self.only is not None:
             return self.only
-        symbol, n = self.table[r.peek(self.most)]
-        r.pos += n
+        at = r.peek(self.most)
+        r.pos += int(self.sizes[at])
         if r.pos > r.end:
             raise Corrupt("the bit stream ends early")
-        return symbol
+        return int(self.symbols[at])
+
+
+@lru_cache(maxsize=16)
+def _turned(bits: int) -> np.ndarray:
+    """Numbers of so many bits, each with its bits in the other order."""
+    out, numbers = np.zeros(1 << bits, np.int64), np.arange(1 << bits)
+    for i in range(bits):
+        out |= ((numbers >> i) & 1) << (bits - 1 - i)
+    return out
 
 
 def read_code(r: Reader, size: int) -> Code:
@@ -117,17 +111,27 @@ def read_code(r: Reader, size: int) -> Code:
     code = Code(of_lengths)
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else size
     lengths, before = [], 8
+    table, mask, data = list(zip(code.symbols.tolist(), code.sizes.tolist(), strict=True)), (1 << code.most) - 1, r.data
+    ahead = at = 0  # the next bits, as a number, and how many are left in it
     while len(lengths) < size and left:
         left -= 1
-        n = code.read(r)
+        if at < 14:
+            ahead, at = int.from_bytes(data[r.pos >> 3 : (r.pos >> 3) + 8], "little") >> (r.pos & 7), 57
+        n, used = table[ahead & mask]
         if n < 16:
             lengths.append(n)
             before = n or before
         else:
             extra, least = ((2, 3), (3, 3), (7, 11))[n - 16]
-            lengths += [before if n == 16 else 0] * (least + r.bits(extra))
+            lengths += [before if n == 16 else 0] * (least + ((ahead >> used) & ((1 << extra) - 1)))
+            used += extra
+        ahead >>= used
+        at -= used
+        r.pos += used
     if len(lengths) > size:
         raise Corrupt("there are too many code lengths")
+    if r.pos > r.end:
+        raise Corrupt("the bit stream ends early")
     return Code(lengths + [0] * (size - len(lengths)))
 
 
@@ -145,9 +149,6 @@ def _extended(r: Reader, prefix: int) -> int:
 
 def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     """Pixels as ARGB numbers, before transforms are undone."""
-    if main and r.peek_is(*_plain_codes()):  # the codes that encode_plain writes needn't be built again
-        r.pos += _plain_codes()[1]
-        return _read_bytes(r, width * height).reshape(height, width)
     cache_bits = 0
     if r.bits(1):
         cache_bits = r.bits(4)
@@ -160,56 +161,153 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         groups = int(meta.max()) + 1
     sizes = (256 + 24 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(r, n) for n in sizes] for _ in range(groups)]
-    if meta is None and not cache_bits and all(c.lengths[:256] == [8] * 256 for c in codes[0][:4]):
-        return _read_bytes(r, width * height).reshape(height, width)
-    return _read_symbols(r, width, height, codes, meta, meta_bits, cache_bits)
+    if meta is None and not cache_bits and all(c.only is not None for c in codes[0][1:4]):
+        return _read_green(r, width, height, codes[0])
+    return _read_symbols(r, width, height, codes, None if meta is None else meta.tolist(), meta_bits, cache_bits)
+
+
+#: Bytes whose bits are looked up at once.
+BLOCK = 1 << 15
+
+
+def _read_green(r: Reader, width: int, height: int, codes) -> np.ndarray:
+    """Pixels of an image whose red, blue and alpha are the same everywhere: a symbol is a green or a back-reference.
+
+    The size of the symbol that would start at a bit is looked up for all bits of a block; a walk from symbol to
+    symbol tells at which they do start, and their greens are then looked up together.
+    """
+    total, code = width * height, codes[0]
+    rest = codes[1].only << 16 | codes[2].only | codes[3].only << 24
+    if code.only is not None and code.only < 256:
+        return np.full((height, width), rest | code.only << 8, np.uint32)
+    # A size of 0 stands for a back-reference, which is read by itself.
+    sizes = np.where(code.symbols < 256, code.sizes, 0).astype(np.uint8)
+    greens = code.symbols.astype(np.uint8)
+    mask, near = np.uint32((1 << code.most) - 1), [0, *(max(1, x + y * width) for x, y in DISTANCES)]
+    out, n, eight = bytearray(), 0, np.arange(8, dtype=np.uint32)
+    while n < total:
+        first = r.pos >> 3
+        data = np.frombuffer(r.data[first : first + BLOCK + 3].ljust(3, b"\0") + b"\0\0", np.uint8).astype(np.uint32)
+        words = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
+        index = ((words[:, None] >> eight) & mask).ravel()
+        step = sizes[index].tobytes()
+        most = 8 * min(BLOCK, len(r.data) - first)
+        at, starts, done, length, back = r.pos & 7, [], 0, 0, 0
+        add = starts.append
+        while at < most:
+            k = step[at]
+            if k:
+                add(at)
+                at += k
+                continue
+            # What stands before a back-reference counts first: the image may end there.
+            if n + len(starts) - done >= total:
+                break
+            out += greens[index[starts[done:]]].tobytes()
+            n, done = n + len(starts) - done, len(starts)
+            r.pos = 8 * first + at
+            length = _extended(r, code.read(r) - 256)
+            place = _extended(r, codes[4].read(r))
+            back = place - 120 if place > 120 else near[place]
+            if back > n or n + length > total:
+                raise Corrupt("a back-reference leaves the image")
+            piece = out[n - back : n - back + length]
+            out += piece if len(piece) == length else (piece * (length // len(piece) + 1))[:length]
+            n += length
+            at = r.pos - 8 * first
+            if n == total:
+                break
+        keep = starts[done : done + total - n]
+        out += greens[index[keep]].tobytes()
+        n += len(keep)
+        if keep:
+            at = keep[-1] + step[keep[-1]]
+        r.pos = 8 * first + at
+        if r.pos > r.end or (n < total and r.pos >= r.end):
+            raise Corrupt("the bit stream ends early")
+    return (np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(rest)).reshape(height, width)
 
 
-def _read_bytes(r: Reader, count: int) -> np.ndarray:
-    """Pixels whose four codes have all eight-bit symbols: green, red, blue, alpha."""
-    if r.pos + 32 * count > r.end:
-        raise Corrupt("the bit stream ends early")
-    at, shift = r.pos >> 3, r.pos & 7
-    raw = np.frombuffer(r.data, np.uint8, min(4 * count + 1, len(r.data) - at), at)
-    got = raw[: 4 * count]
-    if shift:
-        got = (got >> np.uint8(shift)) | (raw[1 : 4 * count + 1] << np.uint8(8 - shift))
-    r.pos += 32 * count
-    four = REVERSED[got].reshape(-1, 4)
-    return four[:, [2, 0, 1, 3]].copy().view("<u4").ravel()
+#: The most bits that a symbol takes, and the bits that are taken out of the stream at once.
+SYMBOL, AHEAD = 64, 192
 
 
 def _read_symbols(r: Reader, width: int, height: int, codes, meta, meta_bits: int, cache_bits: int) -> np.ndarray:
+    """Pixels by their symbols; meta has the group of codes of each block of pixels, if there are several.
+
+    Tables by the next bits have symbols, moved to their channel's place, above their size in six bits: so
+    the sum of four entries is a pixel and its size.
+    """
     total = width * height
     out: list[int] = []
+    add, number, data = out.append, int.from_bytes, r.data
     cache = [0] * (1 << cache_bits) if cache_bits else None
     shift = 32 - cache_bits
-    group = codes[0]
-    cached = 0  # pixels that the cache has taken in
-    while (n := len(out)) < total:
+    tables = [[x for c, place in zip(group, (8, 16, 0, 24, 0), strict=True) for x in (((c.symbols << (place + 6)) + c.sizes).tolist(), (1 << c.most) - 1)] for group in codes]
+    t0, m0, t1, m1, t2, m2, t3, m3, t4, m4 = tables[0]
+    near = [0, *(max(1, x + y * width) for x, y in DISTANCES)]
+    literal, cached = 256 << 14, 280 << 14
+    pos, ahead, left, filled, n = r.pos, 0, 0, 0, 0
+    while n < total:
+        if left < SYMBOL:
+            pos += filled - left
+            if pos > r.end:
+                raise Corrupt("the bit stream ends early")
+            ahead = number(data[pos >> 3 : (pos >> 3) + AHEAD // 8], "little") >> (pos & 7)
+            left = filled = AHEAD - 7
         if meta is not None:
-            group = codes[int(meta[(n // width) >> meta_bits, (n % width) >> meta_bits])]
-        green = group[0].read(r)
-        if green < 256:
-            red, blue, alpha = group[1].read(r), group[2].read(r), group[3].read(r)
-            out.append(alpha << 24 | red << 16 | green << 8 | blue)
-        elif green < 280:
-            length = _extended(r, green - 256)
-            code = _extended(r, group[4].read(r))
-            if code > 120:
-                back = code - 120
-            else:
-                x, y = DISTANCES[code - 1]
-                back = max(1, x + y * width)
+            t0, m0, t1, m1, t2, m2, t3, m3, t4, m4 = tables[meta[(n // width) >> meta_bits][(n % width) >> meta_bits]]
+        e = t0[ahead & m0]
+        rest = ahead >> (e & 63)
+        if e < literal:
+            a = t1[rest & m1]
+            rest >>= a & 63
+            b = t2[rest & m2]
+            rest >>= b & 63
+            c = t3[rest & m3]
+            ahead = rest >> (c & 63)
+            e += a + b + c
+            left -= e & 63
+            v = e >> 6
+            add(v)
+            n += 1
+            if cache:
+                cache[(v * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = v
+        elif e >= cached:
+            if not cache:
+                raise Corrupt("there is no colour cache")
+            add(cache[(e >> 14) - 280])
+            ahead = rest
+            left -= e & 63
+            n += 1
+        else:
+            used, pair = e & 63, []
+            for prefix in ((e >> 14) - 256, None):
+                if prefix is None:
+                    a = t4[rest & m4]
+                    rest >>= a & 63
+                    used += a & 63
+                    prefix = a >> 6
+                extra = 0 if prefix < 4 else (prefix - 2) >> 1
+                pair.append((prefix if prefix < 4 else ((2 + (prefix & 1)) << extra) + (rest & ((1 << extra) - 1))) + 1)
+                rest >>= extra
+                used += extra
+            ahead = rest
+            left -= used
+            length, back = pair[0], pair[1] - 120 if pair[1] > 120 else near[pair[1]]
             if back > n or n + length > total:
                 raise Corrupt("a back-reference leaves the image")
-            for i in range(n, n + length):
-                out.append(out[i - back])
-        else:
-            while cached < n:
-                cache[(out[cached] * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = out[cached]
-                cached += 1
-            out.append(cache[green - 280])
+            new = out[n - back : n - back + length]
+            while len(new) < length:
+                new += new[: length - len(new)]
+            out += new
+            n += length
+            if cache:
+                for v in new:
+                    cache[(v * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = v
+    r.pos = pos + filled - left
+    if r.pos > r.end:
+        raise Corrupt("the bit stream ends early")
     return np.array(out, np.uint32).reshape(height, width)
 
 
@@ -341,12 +439,14 @@ def unpalette(pixels: np.ndarray, palette: np.ndarray, width: int) -> np.ndarray
     return known[index]
 
 
-def read_stream(data: bytes) -> np.ndarray:
+def read_stream(data: bytes, largest: int = MOST * MOST) -> np.ndarray:
     """Pixels (height, width, RGBA) of a lossless bit stream."""
     r = Reader(data)
     if r.bits(8) != SIGNATURE:
         raise Corrupt("the signature is missing")
     width, height = r.bits(14) + 1, r.bits(14) + 1
+    if width * height > largest:
+        raise Corrupt("the image is too large")
     r.bits(1)
     if r.bits(3):
         raise Corrupt("the version isn't known")
@@ -396,26 +496,49 @@ def chunks(data: bytes) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width, RGBA) of a lossless WebP file; Corrupt if it isn't one."""
+def decode(data: bytes, largest: int = MOST * MOST) -> np.ndarray:
+    """Pixels (height, width, RGBA) of a lossless WebP file; Corrupt if it isn't one, or has more pixels than `largest`."""
     for name, body in chunks(data):
         if name == b"VP8L":
-            return read_stream(body)
+            return read_stream(body, largest)
     raise Corrupt("there is no lossless image in the file")
 
 
+#: Numbers that are turned to bits at once.
+STEP = 1 << 14
+
+
 class Writer:
     """Bits, least significant first."""
 
     def __init__(self):
-        self.value, self.pos = 0, 0
+        self.values, self.sizes, self.few = [], [], []
 
     def bits(self, value: int, n: int) -> None:
-        self.value |= value << self.pos
-        self.pos += n
+        self.few.append((value, n))
+
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Numbers, each of so many bits."""
+        self.flush()
+        self.values.append(values)
+        self.sizes.append(sizes)
+
+    def flush(self) -> None:
+        if self.few:
+            both = np.array(self.few, np.int64)
+            self.values.append(both[:, 0])
+            self.sizes.append(both[:, 1])
+            self.few = []
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes((self.pos + 7) // 8, "little")
+        self.flush()
+        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
+        out = []
+        for i in range(0, len(values), STEP):  # each number becomes as many single bits
+            v, n = values[i : i + STEP], sizes[i : i + STEP]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append(((np.repeat(v, n) >> place) & 1).astype(np.uint8))
+        return np.packbits(np.concatenate(out), bitorder="little").tobytes()
 
 
 def wrap(stream: bytes) -> bytes:
@@ -423,160 +546,201 @@ def wrap(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + 8 + len(stream) + pad) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + b"\0" * pad
 
 
-def _write_lengths(w: Writer, lengths) -> None:
-    """A prefix code by its code lengths, each as a five-bit symbol (runs aren't used)."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and all(s < 256 for s in used):
-        used = used or [0]
+def _write_lengths(w: Writer, lengths: np.ndarray) -> None:
+    """A prefix code by its code lengths; runs of zeros are told by their number."""
+    used = np.flatnonzero(lengths)
+    if len(used) <= 2 and (used < 256).all():
         w.bits(1, 1)
-        w.bits(len(used) - 1, 1)
+        w.bits(max(1, len(used)) - 1, 1)
         w.bits(1, 1)
-        w.bits(used[0], 8)
+        w.bits(int(used[0]) if len(used) else 0, 8)
         if len(used) == 2:
-            w.bits(used[1], 8)
+            w.bits(int(used[1]), 8)
         return
+    # Symbols 17 and 18: from 3 zeros on, and from 11 on.
+    symbols, extras = [], []
+    edges = np.flatnonzero(np.diff(lengths != 0)) + 1
+    plain = lengths.tolist()
+    for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(plain)], strict=True):
+        if plain[begin]:
+            symbols += plain[begin:end]
+            extras += [(0, 0)] * (end - begin)
+            continue
+        while begin < end:
+            n = min(end - begin, 138)
+            if n < 3:
+                symbols += [0] * n
+                extras += [(0, 0)] * n
+            else:
+                symbols.append(18 if n > 10 else 17)
+                extras.append((n - 11, 7) if n > 10 else (n - 3, 3))
+            begin += n
     w.bits(0, 1)
-    w.bits(15, 4)
-    # The sixteen plain lengths get codes of four bits: a complete code.
-    for s in CODE_ORDER:
-        w.bits(4 if s < 16 else 0, 3)
-    w.bits(0, 1)
-    for n in lengths:
-        w.bits(int(f"{n:04b}"[::-1], 2), 4)
+    head, values, sizes = _code_of_lengths()
+    w.many(*head)
+    more = np.array(extras, np.int64)
+    fields = np.empty((2, len(symbols), 2), np.int64)
+    fields[0, :, 0], fields[1, :, 0] = values[symbols], sizes[symbols]
+    fields[:, :, 1] = more.T
+    w.many(fields[0].ravel(), fields[1].ravel())
+
+
+#: Code lengths that are written, at most; and the code of code lengths, which is always the same: mean ones are short in it.
+LONGEST_CODE = 10
+OF_LENGTHS = (6, 7, 7, 4, 3, 3, 3, 3, 3, 3, 6, 7, 7, 0, 0, 0, 0, 4, 4)
 
 
 @lru_cache(maxsize=1)
-def _plain_codes() -> tuple[int, int]:
-    """Five codes, four of them with all symbols of eight bits, in few bits."""
-    w = Writer()
-    w.bits(0, 1)  # no colour cache
-    w.bits(0, 1)  # one group of codes
-    for _ in range(4):
-        w.bits(0, 1)
-        w.bits(8, 4)  # of the first twelve: 16 (repeat) and 8
-        for s in CODE_ORDER[:12]:
-            w.bits(1 if s in (8, 16) else 0, 3)
-        w.bits(1, 1)
-        # One eight, then 42 repeats of six and one of three: 256 lengths.
-        w.bits(3, 3)
-        w.bits(44 - 2, 8)
-        w.bits(0, 1)
-        for n in [6] * 42 + [3]:
-            w.bits(1, 1)
-            w.bits(n - 3, 2)
-    w.bits(1, 1)
-    w.bits(0, 2)
-    w.bits(0, 1)
-    return w.value, w.pos
+def _code_of_lengths() -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """What is written of the code of code lengths, and its codes and their sizes."""
+    own = np.array(OF_LENGTHS, np.int64)
+    head = np.concatenate([[15], own[list(CODE_ORDER)], [0]]), np.array([4, *[3] * 19, 1])
+    return head, *_codes(own)
 
 
-def encode_plain(pixels: np.ndarray) -> bytes:
-    """A lossless WebP file of pixels (height, width, RGBA), without transforms."""
-    height, width = pixels.shape[:2]
-    if not (0 < height <= MOST and 0 < width <= MOST):
-        raise ValueError("an image has from 1 to 16384 rows and columns")
-    w = Writer()
-    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), (0, 1)):
-        w.bits(value, n)
-    value, n = _plain_codes()
-    w.bits(value, n)
-    head, shift = w.bytes(), w.pos & 7
-    body = REVERSED[pixels.reshape(-1, 4)[:, [1, 0, 2, 3]].ravel()]
-    if not shift:
-        return wrap(head + body.tobytes())
-    out = np.zeros(len(body) + 1, np.uint8)
-    out[:-1] = body << np.uint8(shift)
-    out[1:] |= body >> np.uint8(8 - shift)
-    out[0] |= head[-1]
-    return wrap(head[:-1] + out.tobytes())
-
-
-def code_lengths(counts, most: int = 15) -> list[int]:
-    """Lengths of a complete prefix code for symbols by their counts."""
-    import heapq
-
-    used = [s for s, n in enumerate(counts) if n]
-    lengths = [0] * len(counts)
+def code_lengths(counts: np.ndarray, most: int = LONGEST_CODE) -> np.ndarray:
+    """Lengths of a complete prefix code for symbols by their counts; one symbol alone has length 1."""
+    used = counts.nonzero()[0]
+    lengths = np.zeros(len(counts), np.int64)
     if len(used) < 2:
-        for s in used or [0]:
-            lengths[s] = 1
+        lengths[used if len(used) else [0]] = 1
         return lengths
-    least = 1
+    own = counts[used]
+    order = own.argsort(kind="stable")
+    sorted_counts = own[order].tolist()
+    n, least = len(used), 1
     while True:
-        heap = [(max(counts[s], least), s, (s,)) for s in used]
-        heapq.heapify(heap)
-        for s in used:
-            lengths[s] = 0
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths) <= most:
+        # Two queues: symbols by count, and pairs, which come about in order of their counts.
+        weights = sorted_counts if least == 1 else [max(c, least) for c in sorted_counts]
+        weights = [*weights, 1 << 62]
+        pairs, above, leaf, pair = [], [0] * (2 * n - 1), 0, 0
+        for new in range(n - 1):
+            total = 0
+            for _ in (0, 1):
+                if pair >= new or weights[leaf] <= pairs[pair]:
+                    total += weights[leaf]
+                    above[leaf] = n + new
+                    leaf += 1
+                else:
+                    total += pairs[pair]
+                    above[n + pair] = n + new
+                    pair += 1
+            pairs.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth[:n]) <= most:
+            lengths[used[order]] = depth[:n]
             return lengths
         least *= 2
 
 
-def _codes(lengths) -> dict[int, tuple[int, int]]:
-    out, code, before = {}, 0, 0
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
+def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their sizes by symbol; a symbol alone takes no bits."""
+    lengths = np.asarray(lengths)
+    used = np.flatnonzero(lengths)
+    values, sizes = np.zeros(len(lengths), np.int64), np.array(lengths, np.int64)
     if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    for n, s in used:
-        code <<= n - before
-        before = n
-        out[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
-        code += 1
-    return out
+        return values, np.zeros(len(lengths), np.int64)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    share = 1 << (15 - lengths[order])
+    first = np.cumsum(share) - share
+    values[order] = _turned(15)[first] & ((1 << lengths[order]) - 1)
+    return values, sizes
 
 
-def _prefix(value: int) -> tuple[int, int, int]:
-    """A length or distance as prefix symbol, extra bits and their number."""
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances as prefix symbols, their further bits and the number of those."""
     v = value - 1
-    if v < 4:
-        return v, 0, 0
-    top = v.bit_length() - 1
-    second = (v >> (top - 1)) & 1
-    extra = top - 1
-    return 2 * top + second, v & ((1 << extra) - 1), extra
+    top = np.frexp(np.maximum(v, 1).astype(float))[1] - 1
+    extra = np.where(v < 4, 0, top - 1)
+    second = (v >> np.maximum(top - 1, 0)) & 1
+    return np.where(v < 4, v, 2 * top + second), np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
+
+
+#: Pixels of the longest back-reference.
+LONGEST = 4096
+
+
+def _matches(flat: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
+    """Back-references (place, length, distance) by which an image repeats itself: each goes to the last place with the same first pixels."""
+    if len(flat) <= shortest:
+        return []
+    key = np.zeros(len(flat) - shortest + 1, np.uint64)
+    for i in range(shortest):
+        key = (key ^ flat[i : len(key) + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(31)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    before = np.full(len(key), -1)
+    before[order[same + 1]] = order[same]
+    places = np.flatnonzero(before >= 0)
+    if not len(places):
+        return []
+    raw, width = flat.tobytes(), flat.itemsize
+    out, at, number = [], 0, int.from_bytes
+    for i, j in zip(places.tolist(), before[places].tolist(), strict=True):
+        if i < at:
+            continue
+        # Equal bytes from both places on: the lowest bit in which numbers made of them differ tells how many.
+        n, most, step = 0, width * min(LONGEST, len(flat) - i), 32 * width
+        a, b = i * width, j * width
+        while n < most:
+            step = min(step, most - n)
+            x = number(raw[a + n : a + n + step], "little") ^ number(raw[b + n : b + n + step], "little")
+            if x:
+                n += ((x & -x).bit_length() - 1) >> 3
+                break
+            n += step
+            step *= 4
+        n //= width
+        if n >= shortest:
+            out.append((i, n, i - j))
+            at = i + n
+    return out
 
 
-def _write_image(w: Writer, pixels: np.ndarray, cache_bits: int, main: bool) -> None:
-    flat = pixels.ravel().tolist()
-    width = pixels.shape[1]
-    symbols, cache, seen = [], {}, {}
-    i = 0
-    while i < len(flat):
-        at = seen.get(tuple(flat[i : i + 3]))
-        n = 0
-        if at is not None:
-            while i + n < len(flat) and n < 4096 and flat[at + n] == flat[i + n]:
-                n += 1
-        if n >= 3:
-            symbols.append(("back", n, i - at))
-        else:
-            n = 1
-            slot = (flat[i] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else None
-            symbols.append(("cache", slot) if cache_bits and cache.get(slot) == flat[i] else ("pixel", flat[i]))
-        for j in range(i, i + n):
-            seen[tuple(flat[j : j + 3])] = j
-            if cache_bits:
-                cache[(flat[j] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = flat[j]
-        i += n
-    near = {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(DISTANCES, 1)))}
-    counts = [[0] * n for n in (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)]
-    coded = []
-    for s in symbols:
-        if s[0] == "pixel":
-            parts = [(k, v, 0, 0) for k, v in enumerate((s[1] >> 8 & 255, s[1] >> 16 & 255, s[1] & 255, s[1] >> 24))]
-        elif s[0] == "cache":
-            parts = [(0, 280 + s[1], 0, 0)]
-        else:
-            a, b = _prefix(s[1]), _prefix(near.get(s[2], s[2] + 120))
-            parts = [(0, 256 + a[0], *a[1:]), (4, b[0], *b[1:])]
-        for k, v, _, _ in parts:
-            counts[k][v] += 1
-        coded.append(parts)
+def _cached(flat: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's place in the colour cache, and whether the cache has that pixel there just before."""
+    slot = ((flat * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(flat), bool)
+    again = (slot[order[1:]] == slot[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
+    hit[order[1:][again]] = True
+    return slot, hit
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """Distances that have a code of their own, in images of that width."""
+    return {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(DISTANCES, 1)))}
+
+
+def _write_image(w: Writer, pixels: np.ndarray, cache_bits: int, main: bool, shortest: int = 3) -> None:
+    flat, width = np.ascontiguousarray(pixels, np.uint32).ravel(), pixels.shape[1]
+    found = np.array(_matches(flat, shortest), np.int64).reshape(-1, 3)
+    covered = np.zeros(len(flat), bool)
+    for i, n in found[:, :2].tolist():
+        covered[i : i + n] = True
+    single = (~covered).nonzero()[0]
+    # Symbols in order of place: pixels or places in the cache, and back-references.
+    order = np.concatenate([single, found[:, 0]]).argsort(kind="stable")
+    px = flat[single].astype(np.int64)
+    size, symbol, after = _prefix(found[:, 1])
+    near = _near(width)
+    far = np.array([near.get(d, d + 120) for d in found[:, 2].tolist()], np.int64)
+    dist, more, bits = _prefix(far)
+    green = np.concatenate([(px >> 8) & 255, 256 + size])
+    is_pixel = np.arange(len(green)) < len(single)
+    if cache_bits:
+        slot, hit = _cached(flat, cache_bits)
+        own = hit[single]
+        green[: len(single)][own] = 280 + slot[single][own]
+        is_pixel[: len(single)] = ~own
+    pure = is_pixel[: len(single)]
+    channels = [(px >> s) & 255 for s in (16, 0, 24)]
+    counts = [np.bincount(green, minlength=280 + ((1 << cache_bits) if cache_bits else 0))]
+    counts += [np.bincount(c[pure] if cache_bits else c, minlength=256) for c in channels] + [np.bincount(dist, minlength=40)]
     w.bits(bool(cache_bits), 1)
     if cache_bits:
         w.bits(cache_bits, 4)
@@ -585,19 +749,32 @@ def _write_image(w: Writer, pixels: np.ndarray, cache_bits: int, main: bool) ->
     tables = []
     for c in counts:
         lengths = code_lengths(c)
-        if sum(map(bool, lengths)) == 1 and next(s for s, n in enumerate(lengths) if n) > 255:
+        if np.count_nonzero(lengths) == 1 and np.flatnonzero(lengths)[0] > 255:
             lengths[0] = 1  # a second symbol, for a code whose only one has no short form
         _write_lengths(w, lengths)
         tables.append(_codes(lengths))
-    for parts in coded:
-        for k, v, extra, n in parts:
-            w.bits(*tables[k][v])
-            w.bits(extra, n)
-
-
-def encode(pixels: np.ndarray, cache_bits: int = 6, predictor: int | None = None, cross: tuple[int, int, int] | None = None, green: bool = False, palette: bool = False, bits: int = 3) -> bytes:
-    """A lossless WebP file of pixels (height, width, RGBA) with the transforms asked for."""
+    # Four fields for each symbol: green; then red, blue and alpha, or further bits, a distance and its bits.
+    values, sizes = np.zeros((len(green), 4), np.int64), np.zeros((len(green), 4), np.int64)
+    values[:, 0], sizes[:, 0] = tables[0][0][green], tables[0][1][green]
+    for k, c in enumerate(channels, 1):
+        if tables[k][1].any():
+            values[: len(single), k] = np.where(pure, tables[k][0][c], 0)
+            sizes[: len(single), k] = np.where(pure, tables[k][1][c], 0)
+    values[len(single) :, 1:] = np.stack([symbol, tables[4][0][dist], more], 1)
+    sizes[len(single) :, 1:] = np.stack([after, tables[4][1][dist], bits], 1)
+    values, sizes = values[order].ravel(), sizes[order].ravel()
+    some = sizes.nonzero()[0]
+    w.many(values[some], sizes[some])
+
+
+def encode(pixels: np.ndarray, cache_bits: int = 6, predictor: int | None = None, cross: tuple[int, int, int] | None = None, green: bool = False, palette: bool = False, bits: int = 3, shortest: int = 3) -> bytes:
+    """A lossless WebP file of pixels (height, width, RGBA) with the transforms asked for.
+
+    bits: a transform's blocks have 2 ** bits rows and columns. shortest: pixels of a back-reference at least.
+    """
     height, width = pixels.shape[:2]
+    if not (0 < height <= MOST and 0 < width <= MOST):
+        raise ValueError("an image has from 1 to 16384 rows and columns")
     w = Writer()
     for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         w.bits(value, n)
@@ -607,7 +784,7 @@ def encode(pixels: np.ndarray, cache_bits: int = 6, predictor: int | None = None
         return np.full((_blocks(height, bits), _blocks(image.shape[1], bits)), value, np.uint32)
 
     if palette:
-        colours = np.unique(image)
+        colours, index = np.unique(image, return_inverse=True)
         if len(colours) > 256:
             raise ValueError("a palette has 256 colours at most")
         w.bits(1, 1)
@@ -616,12 +793,10 @@ def encode(pixels: np.ndarray, cache_bits: int = 6, predictor: int | None = None
         steps = _channels(colours[None]).copy()
         steps[:, 1:] -= _channels(colours[None])[:, :-1]
         _write_image(w, _packed(steps), 0, False)
-        index = np.searchsorted(colours, image)
         pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
         inner = _blocks(width, pack)
-        index = np.pad(index, ((0, 0), (0, (inner << pack) - width))).reshape(height, inner, 1 << pack)
-        image = (sum(index[..., i] << ((8 >> pack) * i) for i in range(1 << pack)).astype(np.uint32) << 8) | 0xFF000000
-        image = image.astype(np.uint32)
+        index = np.pad(index.reshape(height, width), ((0, 0), (0, (inner << pack) - width))).reshape(height, inner, 1 << pack)
+        image = (sum(index[..., i] << ((8 >> pack) * i) for i in range(1 << pack)) << 8 | 0xFF000000).astype(np.uint32)
     if green:
         w.bits(1, 1)
         w.bits(SUBTRACT_GREEN, 2)
@@ -631,7 +806,7 @@ def encode(pixels: np.ndarray, cache_bits: int = 6, predictor: int | None = None
         w.bits(PREDICTOR, 2)
         w.bits(bits - 2, 3)
         _write_image(w, table(predictor << 8), 0, False)
-        image = _residuals(image, predictor)
+        image = residuals(image, predictor)
     if cross is not None:
         w.bits(1, 1)
         w.bits(CROSS_COLOUR, 2)
@@ -640,12 +815,22 @@ def encode(pixels: np.ndarray, cache_bits: int = 6, predictor: int | None = None
         _write_image(w, own, 0, False)
         image = cross_colour(image, own, bits, False)
     w.bits(0, 1)
-    _write_image(w, image, cache_bits, True)
+    _write_image(w, image, cache_bits, True, shortest)
     return wrap(w.bytes())
 
 
-def _residuals(image: np.ndarray, mode: int) -> np.ndarray:
+def residuals(image: np.ndarray, mode: int) -> np.ndarray:
+    """What a predictor mode leaves of an image."""
     height, width = image.shape
+    if mode in (1, 2):
+        c = _channels(image)
+        out = c.copy()
+        out[:, 1:] -= c[:, :-1]
+        out[1:, 0] -= c[:-1, 0]
+        if mode == 2:
+            out[1:] = c[1:] - c[:-1]
+        out[0, 0, 3] = (int(out[0, 0, 3]) + 1) & 255
+        return _packed(out)
     flat = image.ravel().tolist()
     out = []
     for y in range(height):
