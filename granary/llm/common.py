@@ -41,10 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one is set only if there is none."""
+    """The folder in spark.checkpoint.dir. Where it isn't set, one in the warehouse is, which all machines share too."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{spark.sparkContext.applicationId}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -65,10 +65,29 @@ def materialize(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def own_tables():
+    """Tables that are materialized inside go at the end, but for those given to the function that this gives."""
+    before, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_written[-1][1])
+        return df
+
+    yield keep
+    mine = _written[before:]
+    _written[before:] = [x for x in mine if x[1] in kept]
+    _delete([x for x in mine if x[1] not in kept])
+
+
 def forget_tables() -> None:
     """Delete what materialize() wrote; also runs at exit."""
-    while _written:
-        spark, path = _written.pop()
+    gone, _written[:] = list(_written), []
+    _delete(gone)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in reversed(tables):
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

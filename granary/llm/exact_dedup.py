@@ -10,7 +10,7 @@ its block stands, after it is proved that no two blocks share the hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm import common
@@ -20,9 +20,18 @@ BLOCK = 4096
 
 
 def _numbered(distinct: DataFrame, by: list[str], label: str) -> DataFrame:
-    """Distinct rows in sorted order of `by`, numbered, as a table."""
-    rows = distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
-    return common.materialize(rows.select([c for c in rows.columns if c != "content"]), label)
+    """Distinct rows in sorted order of `by`, numbered from 0 without gaps, as a table: the same names for any layout.
+
+    Partitions are ranges; a row's number is its place in its partition and the rows of the ranges before.
+    """
+    rows = distinct.sort(*by).withColumn("at", F.monotonically_increasing_id())
+    placed = common.materialize(rows.select([c for c in rows.columns if c != "content"]), label)
+    # The upper bits of `at` number the partition. One row for each range goes through one task.
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("ahead"))
+    numbered = placed.withColumn("part", part).join(F.broadcast(ahead), "part")
+    return numbered.withColumn("name", F.col("at") - F.shiftleft(F.col("part"), 33) + F.col("ahead")).drop("at", "part", "ahead")
 
 
 def _name_blocks(blocks: DataFrame) -> tuple[DataFrame, int]:

@@ -56,7 +56,11 @@ def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
     coded = lists.flatten().dictionary_encode()
     rows = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), rows
+    words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    if "" in words:  # what stands before a space at a text's begin, and after one at its end
+        real = index != words.index("")
+        index, rows = index[real], rows[real]
+    return words, index, rows
 
 
 def trained(df: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]:
@@ -67,10 +71,11 @@ def trained(df: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
     counted = common.map_arrow(
         df.select(F.col(lang).alias("lang"), F.col(text).alias("text")), _count, "lang string, bucket int, n long", keep=False
     )
-    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(summed["lang"].to_pylist()))
+    # A label too many would make the matrix, and what the driver gathers, larger than the bound: so they are counted first.
+    langs = sorted(r[0] for r in df.select(F.col(lang)).distinct().limit(LANGUAGES + 1).collect())
     if len(langs) > LANGUAGES:
         raise ValueError(f"there are over {LANGUAGES} languages")
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((BUCKETS, max(1, len(langs))), 0.5)
     where = {x: i for i, x in enumerate(langs)}
     at = np.fromiter((where[x] for x in summed["lang"].to_pylist()), np.int64, len(summed))
@@ -111,7 +116,8 @@ def predict_languages(df: DataFrame, training: DataFrame, text: str = "text", la
     training: labelled rows, of which all count but those whose text or label
     is null. score is the posterior probability of lang_pred among the learned
     languages (uniform prior). Texts that are null, empty or without a letter get
-    lang_pred "und" and score 0; so do all texts if nothing was learned.
+    lang_pred "und" and score 0; so do all texts if nothing was learned. Long texts count
+    whole; a text is in memory whole, a batch is split by its rows. Repeated rows have a row each.
     Equal posteriors: the first language by name. Columns of df with these
     names are replaced, all others stay; rows stay where they lie.
     """

@@ -40,7 +40,7 @@ FEATURES = BUCKETS + ENDS + 2 * (len(SHARES) + 1)
 CHANCE, LIFT = 9.0, 0.5
 #: Words at most whose buckets a task remembers.
 CODES = 1 << 16
-#: Strength of the pull of rates to 1, and the most that a rate can be.
+#: Strength of the pull of rates to 1, and the most that a rate can be unless the caller says otherwise.
 PULL, MOST = 1e-3, 20.0
 #: Iterations at most, and the largest miss (of each target; of all tokens where that is 0) at which they end.
 ROUNDS, CLOSE = 60, 0.01
@@ -148,10 +148,10 @@ def fit_domains(labelled: DataFrame, domains: list[str]) -> np.ndarray:
     return weights
 
 
-def posteriors(df: DataFrame, model: np.ndarray) -> DataFrame:
-    """df (with text) with tokens (words of the text) and p, the posterior over domains."""
+def posteriors(df: DataFrame, model: np.ndarray, text: str = "text") -> DataFrame:
+    """df with tokens (words of the text) and p, the posterior over domains, as its last columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index("text")
+    at = df.columns.index(text)
 
     def run(batches):
         table, codes = shared.value, _Codes()
@@ -163,7 +163,7 @@ def posteriors(df: DataFrame, model: np.ndarray) -> DataFrame:
                 rows, found, tokens = _features(batch.column(at), codes)
                 size = np.bincount(rows[found < BUCKETS + ENDS], minlength=n)
                 rows, found = rows[live[found]], found[live[found]]
-                p = np.stack([np.bincount(rows, table[found, k], n) for k in range(table.shape[1])], 1)
+                p = np.stack([np.bincount(rows, table[found, k], n) for k in range(table.shape[1])], 1).astype(float)  # without rows they would be integers
                 p += size[:, None] * table[-2] + table[-1]
                 p = np.exp(p - p.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
@@ -173,11 +173,11 @@ def posteriors(df: DataFrame, model: np.ndarray) -> DataFrame:
     return common.map_arrow(df, run, "tokens long, p array<double>")
 
 
-def rates(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def rates(p: np.ndarray, steps: list[np.ndarray], most: float = MOST) -> np.ndarray:
     """Rates of documents by their posteriors, after the steps (scaled gradients over domains)."""
     r = np.ones(len(p))
     for gradient in steps:
-        r = np.clip(r - (p @ gradient + PULL * (r - 1)), 0.0, MOST)
+        r = np.clip(r - (p @ gradient + PULL * (r - 1)), 0.0, most)
     return r
 
 
@@ -191,7 +191,7 @@ def _miss(miss: np.ndarray, targets: np.ndarray) -> float:
     return float(np.max(np.abs(miss) / np.where(targets > 0, targets, 1)))
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(table: DataFrame, targets: np.ndarray, most: float = MOST) -> tuple[list[np.ndarray], np.ndarray]:
     """Steps of the projected gradient for documents (tokens, p), and the shares of domains that they reach.
 
     targets: shares of all tokens by domain, adding up to 1. The gradient is
@@ -207,9 +207,9 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray],
             for batch in batches:
                 t, p = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
                 if len(t):
-                    r = rates(p, steps)
+                    r = rates(p, steps, most)
                     total += (t * r) @ p
-                    free = t * ((r > 0) & (r < MOST))
+                    free = t * ((r > 0) & (r < most))
                     outer += (p * free[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k + k), pa.int32()), pa.array(np.append(total, outer.ravel()))], names=["c0", "c1"])
 
@@ -237,16 +237,20 @@ def fit_rates(table: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray],
     return steps, miss + targets
 
 
-def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", added: bool = True) -> DataFrame:
+def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str = "text", tokens: str | None = None, keep_text: bool = True, most: float = MOST) -> DataFrame:
     """df with tokens, domain, posterior (of that domain) and rate for each row.
 
     labelled: rows of text and domain; nulls, and domains without a target, are left out.
-    targets: weight by domain; they are scaled to add up to 1. rate is how often
-    a document is to be taken: 0 leaves it out, 2.5 takes it twice or three times.
-    A domain that no document leans to can't reach its target; rates then come
-    as near as they can. Null and empty texts have no tokens: their rate
-    follows from the priors. Equal texts have equal rates. Columns of df with
-    these names are replaced; rows and other columns stay. Empty tables give empty ones.
+    targets: weight by domain; they are scaled to add up to 1. tokens: a column of token counts
+    (null: 0) that the targets hold for; without it they hold for words cut at white space.
+    rate is how often a document is to be taken: 0 leaves it out, 2.5 takes it twice or three
+    times; it is `most` at most (infinite: no bound). A domain that no document leans to
+    can't reach its target; rates then come as near as they can, and a warning is
+    logged with the shares reached. Null and empty texts have no words: their rate follows
+    from the priors. Equal texts have equal rates. Texts may be long: a batch is split by rows, a text
+    is in memory whole. keep_text: without it the text column is left out, and isn't written between the passes.
+    Columns of df with the new names are replaced (but a column of token counts by itself);
+    rows and other columns stay. Empty tables give empty ones.
     """
     spark = df.sparkSession
     common.prepare(spark)
@@ -256,28 +260,31 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str
     weight = np.array([targets[d] for d in domains], float)
     weight /= weight.sum()
     model = fit_domains(labelled.where("text is not null and domain is not null"), domains)
-    df = df.drop("tokens", "domain", "posterior", "rate", "p")
-    narrow = common.materialize(posteriors(df.select(F.col(text).alias("text")), model).select("tokens", "p"), "posteriors")
-    steps, reached = fit_rates(narrow, weight)
+    df = df.drop(*{"tokens", "domain", "posterior", "rate"} - {text, tokens})
+    names = df.columns
+    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    own = [c for c, n in zip(inner.columns, names, strict=True) if (keep_text or n != text) and n not in ("tokens", "domain", "posterior", "rate")]
+    count = F.col("tokens") if tokens is None else F.coalesce(F.col(f"c{names.index(tokens)}").cast("long"), F.lit(0))
+    # Texts go through the classifier once: posteriors are written with what the result has.
+    table = common.materialize(posteriors(inner, model, f"c{names.index(text)}").select(*own, count.alias("tokens"), "p"), "posteriors")
+    steps, reached = fit_rates(table, weight, most)
     met = _miss(reached - weight, weight) <= CLOSE
     LOG.log(logging.INFO if met else logging.WARNING, "targets %s: shares of %s reached for %s", "met" if met else "not met", reached.round(5).tolist(), domains)
-    names = df.columns
-    full = posteriors(df.withColumnRenamed(text, "text"), model) if text != "text" else posteriors(df, model)
-    at = full.columns.index("p")
+    at = table.columns.index("p")
 
     def run(batches):
         for batch in batches:
             p = _matrix(batch.column(at))
             best = p.argmax(1) if len(p) else np.zeros(0, int)
-            own = [
+            new = [
                 pa.array([domains[b] for b in best], pa.string()),
                 pa.array(p[np.arange(len(p)), best] if len(p) else np.zeros(0)),
-                pa.array(rates(p, steps) if len(p) else np.zeros(0)),
+                pa.array(rates(p, steps, most) if len(p) else np.zeros(0)),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[f"c{j}" for j in range(batch.num_columns + 3)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f"c{j}" for j in range(batch.num_columns + 3)])
 
-    out = common.map_arrow(full, run, "domain string, posterior double, rate double").drop("p")
-    return out.toDF(*names, "tokens", "domain", "posterior", "rate")
+    out = common.map_arrow(table, run, "domain string, posterior double, rate double").drop("p")
+    return out.toDF(*[names[int(c[1:])] for c in own], "tokens", "domain", "posterior", "rate")
 
 
 def take(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -287,4 +294,6 @@ def take(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     luck = F.pmod(F.xxhash64(F.lit("mix"), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     times = (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    return df.select("*", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))).alias("_copy")).drop("_copy")
+    copies = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    return df.select("*", copies.alias("n")).toDF(*plain, "n").drop("n").toDF(*df.columns)

@@ -74,7 +74,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.mixing import mix
 
     docs = common.documents(spark, sf_dir).select("doc_id", "source", "text")
-    return mix(docs, labelled_domains(spark, sf_dir), TARGETS).select("doc_id", "source", "tokens", "domain", "posterior", "rate")
+    return mix(docs, labelled_domains(spark, sf_dir), TARGETS, keep_text=False).select("doc_id", "source", "tokens", "domain", "posterior", "rate")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +95,11 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.language_id import predict_languages
 
-    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out")
+    # A document without an id isn't held out.
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = common.documents(spark, sf_dir)
-    training = docs.where(~F.coalesce(held, F.lit(False))).select("text", "lang")
-    return predict_languages(docs.select("doc_id", "text", held), training).select("doc_id", "held_out", "lang_pred", "score")
+    training = docs.where(~held).select("text", "lang")
+    return predict_languages(docs.select("doc_id", "text", held.alias("held_out")), training).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +110,42 @@ def op10_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_join, op3_secret_scan, op4_line_dedup, op5_byte_bpe, op6_mixing, op7_exact_dedup, op8_warc_fixity, op9_language_id, op10_lossless_webp)}
 
+#: The rules of the secret scan as DuckDB has them: kind, name, regex, group and least length. Letters in either case are written out.
+SECRETS = (
+    (0, "assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    (1, "access", "AKIA[A-Z0-9]+", 0, 20),
+    (2, "hex", "[0-9a-f]+", 0, 24),
+    (3, "pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    (4, "jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+)
+
+
+def _secrets_sql() -> str:
+    """Matches and the text between them take turns; their lengths add up to where each match stands."""
+    each = " UNION ALL ".join(
+        f"SELECT r, {k} AS kind, '{name}' AS name, {least} AS least, unnest(regexp_extract_all(text, '{regex}')) AS w, unnest(regexp_extract_all(text, '{regex}', {group})) AS p, "
+        f"unnest(string_split_regex(text, '{regex}')[:len(regexp_extract_all(text, '{regex}'))]) AS g, unnest(range(len(regexp_extract_all(text, '{regex}')))) AS i FROM t"
+        for k, name, regex, group, least in SECRETS
+    )
+    return f"""
+        WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), m AS ({each}),
+        s AS (SELECT *, sum(length(g) + length(w)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM m),
+        f AS (SELECT r, kind, name || ':' || (stop - length(w))::BIGINT || ':' || stop::BIGINT AS span, stop - length(w) AS start FROM s WHERE length(p) >= least),
+        a AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM f GROUP BY r)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN a USING (r)"""
+
+
 ORACLES: dict[str, str] = {
+    "op3_secret_scan": _secrets_sql(),
     "op8_warc_fixity": """
         WITH r AS (
           SELECT page_id, page_id // 1000 AS file, html,
-                 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                 || 'WARC-Record-ID: <urn:uuid:' || regexp_replace(md5('page ' || page_id), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') || '>' || chr(13) || chr(10)
+                 || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
                  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR)
                  || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
           FROM pages),

@@ -8,6 +8,7 @@ all of it. An audit compares roots and goes down only where nodes differ.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +16,62 @@ from granary.llm import common
 
 #: Records of a file, by page number; and children of a node.
 RECORDS, CHILDREN = 1000, 16
+#: Files that pages without a number are dealt out to.
+STRAY = 1024
+#: When records were made, as they say: pages don't know, and equal pages are to give equal records.
+DATE = "1970-01-01T00:00:00Z"
 
 
-def record_bytes(url: Column, body: Column) -> Column:
-    """A WARC/1.0 resource record, as text. Null url or body: empty."""
+def record_bytes(name: Column, url: Column, body: Column) -> Column:
+    """A WARC/1.0 resource record, as text. name: what its record id is made of. Null url or body: empty."""
     url, body = F.coalesce(url, F.lit("")), F.coalesce(body, F.lit(""))
+    uuid = F.regexp_replace(F.md5(name.cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     head = F.concat(
-        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url,
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), url,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+def parsed(content: bytes):
+    """Records of a WARC file: offset, length, headers (names in lower case) and body of each. The last offset is where it isn't one any more."""
+    at = 0
+    while at < len(content):
+        end = content.find(b"\r\n\r\n", at)
+        if end < 0 or not content.startswith(b"WARC/", at):
+            break
+        lines = content[at:end].split(b"\r\n")[1:]
+        headers = {k.strip().lower().decode("utf-8", "replace"): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
+        size = headers.get("content-length", "")
+        stop = end + 4 + int(size) if size.isdigit() else len(content) + 1
+        if not content.startswith(b"\r\n\r\n", stop):
+            break
+        yield at, stop + 4 - at, headers, content[end + 4 : stop]
+        at = stop + 4
+
+
+def read_records(files: DataFrame) -> DataFrame:
+    """file, offset, length, type, id, uri, date, headers and body of the records of WARC files (path, content: not compressed).
+
+    Headers that are missing are null. A file that ends or breaks inside a record gives the records before.
+    A file is in one task's memory whole, as Spark reads binary files. Null contents and empty tables give no rows.
+    """
+    common.prepare(files.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                content = batch.column(1)[i].as_py()
+                path = batch.column(0)[i].as_py()
+                for offset, length, h, body in parsed(content or b""):
+                    own = [[path], [offset], [length], *([h.get(n)] for n in ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")), [list(h.items())], [body]]
+                    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.map_(pa.string(), pa.string()), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], names=[f"c{j}" for j in range(9)])
+
+    schema = "file string, offset long, length long, type string, id string, uri string, date string, headers map<string,string>, body binary"
+    return common.map_arrow(files.select("path", "content"), run, schema, keep=False)
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """file, seq, offset, length, sha and hash of records (file, id, record), in order of id within a file.
 
@@ -93,20 +138,22 @@ def audit(leaf_a: DataFrame, leaf_b: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame, change: Column | None = None) -> DataFrame:
-    """file, id and record of pages (page_id, url, html). A null page_id goes to file -1.
+    """file, id and record of pages (page_id, url, html). Pages with a null page_id go to files below 0, by url.
 
     change: a new body for the rows where it isn't null (to plant damage).
     """
     body = F.col("html") if change is None else F.coalesce(change, "html")
-    file = F.coalesce(F.expr(f"page_id div {RECORDS}"), F.lit(-1))
-    return pages.select(file.alias("file"), F.col("page_id").alias("id"), record_bytes(F.col("url"), body).alias("record"))
+    file = F.coalesce(F.expr(f"page_id div {RECORDS}"), -1 - F.pmod(F.xxhash64("url"), F.lit(STRAY)))
+    name = F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    return pages.select(file.alias("file"), F.col("page_id").alias("id"), record_bytes(name, F.col("url"), body).alias("record"))
 
 
 def fixity_audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     """One row for each record of the original: id, file, seq, offset, length, sha and corrupt.
 
     Both have file, id and record. corrupt tells where the replica differs.
-    Repeated records have a row each; an empty original gives an empty table.
+    Repeated records have a row each; an empty original gives an empty table. Other columns aren't read. Bodies may be long:
+    they are hashed where they lie. Offsets of one file are added up in one task, whose rows have hashes alone.
     """
     common.prepare(original.sparkSession)
     a, b = common.materialize(leaves(original), "leaves"), common.materialize(leaves(replica), "leaves")

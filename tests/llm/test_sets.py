@@ -44,6 +44,16 @@ def brute_exact(rows):
     return sorted(out, key=str)
 
 
+def test_block_names_are_sorted(spark):
+    """Names are ranks in sorted order, whatever the layout."""
+    from granary.llm import exact_dedup as m
+
+    blocks = sorted({f"{i * 7919 % 1000:04}" for i in range(500)})
+    df = spark.createDataFrame([(b, i) for i, b in enumerate(blocks)], "content string, want long").repartition(7)
+    for parts in (1, 3):
+        assert all(r.name == r.want for r in m._numbered(df.repartition(parts).withColumn("key", F.col("content")), ["content"], "names").collect())
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_exact_dedup(spark, empty, block):
     from granary.llm.exact_dedup import exact_dedup
@@ -378,9 +388,73 @@ def test_rates_meet_small_targets(spark):
     assert (np.abs(reached - targets) <= 0.01 * targets).all(), reached
 
 
+def brute_rates(p, t, targets, most):
+    """The same least squares over rates within bounds, by coordinate descent."""
+    import numpy as np
+
+    total = t.sum()
+    a = (p * t[:, None]).T / total  # expected shares are a @ r
+    r = np.ones(len(t))
+    for _ in range(4000):
+        # Projected gradient with momentum over the exact objective, to its optimum.
+        gradient = 2 * a.T @ (a @ r - targets) + 2 * 1e-3 * t / total * (r - 1)
+        r = np.clip(r - gradient / (2 * (np.linalg.norm(a, 2) ** 2 + 1e-3 * t.max() / total)), 0, most)
+    return r, a @ r
+
+
+@pytest.mark.parametrize("most", [20.0, 1.5])
+def test_rates_are_those_of_the_least_squares_problem(spark, most):
+    import numpy as np
+
+    from granary.llm import mixing as m
+
+    rng = np.random.default_rng(14)
+    p, t = rng.dirichlet([1, 0.5, 0.5], 60), rng.integers(10, 50, 60).astype(float)
+    table = spark.createDataFrame([(int(x), y.tolist()) for x, y in zip(t, p, strict=True)], "tokens long, p array<double>")
+    targets = np.array([0.3, 0.3, 0.4])
+    steps, reached = m.fit_rates(table, targets, most)
+    own = m.rates(p, steps, most)
+    want, shares = brute_rates(p, t, targets, most)
+    cost = lambda r, s: ((s - targets) ** 2).sum() + 1e-3 * (t * (r - 1) ** 2).sum() / t.sum()
+    assert cost(own, reached) <= cost(want, shares) + 2e-3 and np.abs(reached - shares).max() < 0.02
+    assert np.allclose(reached, (p * (t * own)[:, None]).sum(0) / t.sum())
+
+
+def test_mixing_keeps_columns_with_clashing_names(spark):
+    from granary.llm.mixing import mix, take
+
+    labelled = spark.createDataFrame([("apple pear", "a"), ("bolt nut", "b")] * 30, "text string, domain string")
+    df = spark.createDataFrame([(1, "apple pear " * 40_000, 7, "x", 5, 9), (2, None, 8, "y", None, 9), (3, "bolt", 9, "z", 3, 9)], "doc_id long, body string, p int, text string, tokens int, n int")
+    got = mix(df, labelled, {"a": 1, "b": 1}, text="body", tokens="tokens")
+    assert got.columns == ["doc_id", "body", "p", "text", "n", "tokens", "domain", "posterior", "rate"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert [(rows[i].p, rows[i].text, rows[i].tokens) for i in (1, 2, 3)] == [(7, "x", 5), (8, "y", 0), (9, "z", 3)] and rows[1].domain == "a"
+    assert mix(df, labelled, {"a": 1, "b": 1}, text="body", keep_text=False).columns == ["doc_id", "p", "text", "n", "tokens", "domain", "posterior", "rate"]
+    assert take(spark.createDataFrame([(1, 2.0, 5)], "doc_id long, rate double, n int")).collect() == [(1, 2.0, 5)] * 2
+
+
 # WARC
 
 
+def test_warc_records_are_read_back(spark, tmp_path):
+    from granary.llm import warc
+
+    pages = spark.createDataFrame([(1, "http://x/é", "<p>\r\n\r\nWARC/1.0 é</p>"), (2, None, None), (None, "http://y", "b" * 100_000)], "page_id long, url string, html string")
+    rows = warc.page_records(pages).collect()
+    whole = b"".join(r.record.encode() for r in rows)
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc").write_bytes(whole[:-5])
+    (tmp_path / "c.warc").write_bytes(b"not one")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = warc.read_records(files).collect()
+    whole_file = sorted((r for r in got if r.file.endswith("a.warc")), key=lambda r: r.offset)
+    assert len(got) == 2 * len(rows) - 1 and [r.length for r in whole_file] == [len(r.record.encode()) for r in rows]
+    assert [(r.uri, bytes(r.body).decode()) for r in whole_file] == [("http://x/é", "<p>\r\n\r\nWARC/1.0 é</p>"), ("", ""), ("http://y", "b" * 100_000)]
+    assert {r.type for r in got} == {"resource"} and all(re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", r.id) and r.date == warc.DATE for r in got)
+    audit = warc.fixity_audit(warc.page_records(pages.withColumn("file", F.lit("clash"))), warc.page_records(pages))
+    assert audit.count() == 3 and not any(r.corrupt for r in audit.collect())
+
+
 def test_warc_audit(spark):
     from granary.llm import warc
 
