@@ -37,18 +37,24 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One row of each group of near duplicates: that with the smallest doc_id (null: larger than any), then text hash.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id can't be told apart and all stay.
+    Rows that share a doc_id but not a text are told apart. Of rows equal in both, one stays. Texts without words are a group of their own each.
     """
     from granary.llm.ngram_join import ngram_join
 
-    groups = common.materialize(ngram_join(docs).where(common.same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("own")), "kept")
-    names = common.materialize(groups.distinct(), "names")
-    kept = docs.join(common.checked_broadcast(names), common.same(F.col("doc_id"), F.col("own")), "left_semi")
-    if groups.where("own is not null").count() > names.where("own is not null").count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    mark = F.xxhash64("text")
+    found = ngram_join(docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", mark.alias("mark")).alias("key"), "text"), doc_id="key")
+    kept = common.materialize(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.doc_id", "doc_id.mark").distinct().toDF("own", "own_mark"), "kept")
+    rows = docs.withColumn("_mark", mark)
+    stay = rows.join(common.checked_broadcast(kept), common.same(F.col("doc_id"), F.col("own")) & (F.col("_mark") == F.col("own_mark")), "left_semi")
+    # Rows equal in both columns share a key; only where a key has several rows are they brought together.
+    again = common.materialize(stay.groupBy(F.col("doc_id").alias("own"), F.col("_mark").alias("own_mark")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
+    if again.isEmpty():
+        return stay.select(*docs.columns)
+    several = common.same(F.col("doc_id"), F.col("own")) & (F.col("_mark") == F.col("own_mark"))
+    one = stay.join(common.checked_broadcast(again), several, "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return stay.join(common.checked_broadcast(again), several, "left_anti").unionByName(one).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +88,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again. What a stage wrote on its way goes when its result is written."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+        with common.own_tables() as keep:
+            docs = keep(common.materialize(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
