@@ -96,15 +96,22 @@ def _turned(bits: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=512)
+def _of_few(*symbols: int) -> Code:
+    """The code of one symbol, or of two."""
+    lengths = np.zeros(max(symbols) + 1, np.int64)
+    lengths[list(symbols)] = 1
+    return Code(lengths)
+
+
 def read_code(r: Reader, size: int) -> Code:
     if r.bits(1):
-        count, lengths = r.bits(1) + 1, [0] * size
+        count, symbols = r.bits(1) + 1, []
         for i in range(count):
-            symbol = r.bits(8 if i or r.bits(1) else 1)
-            if symbol >= size:
-                raise Corrupt("a symbol is outside its alphabet")
-            lengths[symbol] = 1
-        return Code(lengths)
+            symbols.append(r.bits(8 if i or r.bits(1) else 1))
+        if max(symbols) >= size:
+            raise Corrupt("a symbol is outside its alphabet")
+        return _of_few(*sorted(set(symbols)))
     of_lengths = [0] * 19
     for i in range(4 + r.bits(4)):
         of_lengths[CODE_ORDER[i]] = r.bits(3)
@@ -166,8 +173,8 @@ def read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return _read_symbols(r, width, height, codes, None if meta is None else meta.tolist(), meta_bits, cache_bits)
 
 
-#: Bytes whose bits are looked up at once.
-BLOCK = 1 << 15
+#: Bytes whose bits are looked up at once; and more bits than a symbol takes.
+BLOCK, SYMBOL = 1 << 15, 64
 
 
 def _read_green(r: Reader, width: int, height: int, codes) -> np.ndarray:
@@ -184,52 +191,72 @@ def _read_green(r: Reader, width: int, height: int, codes) -> np.ndarray:
     sizes = np.where(code.symbols < 256, code.sizes, 0).astype(np.uint8)
     greens = code.symbols.astype(np.uint8)
     mask, near = np.uint32((1 << code.most) - 1), [0, *(max(1, x + y * width) for x, y in DISTANCES)]
-    out, n, eight = bytearray(), 0, np.arange(8, dtype=np.uint32)
+    out, n, eight, tables, m0, m4 = bytearray(), 0, np.arange(8, dtype=np.uint32), None, int(mask), (1 << codes[4].most) - 1
     while n < total:
         first = r.pos >> 3
-        data = np.frombuffer(r.data[first : first + BLOCK + 3].ljust(3, b"\0") + b"\0\0", np.uint8).astype(np.uint32)
+        size = min(BLOCK, len(r.data) - first, SYMBOL // 8 * (total - n) + 1)
+        data = np.frombuffer(r.data[first : first + size].ljust(1, b"\0") + r.data[first + size : first + size + 2].ljust(2, b"\0"), np.uint8).astype(np.uint32)
         words = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
         index = ((words[:, None] >> eight) & mask).ravel()
         step = sizes[index].tobytes()
-        most = 8 * min(BLOCK, len(r.data) - first)
-        at, starts, done, length, back = r.pos & 7, [], 0, 0, 0
-        add = starts.append
+        most = 8 * size
+        # From each bit four symbols on; a back-reference goes nowhere.
+        one = np.arange(most + 16, dtype=np.int32)  # beyond the block, the walk ends
+        one[:most] += np.frombuffer(step, np.uint8)
+        two = one[one]
+        three, four = one[two], two[two]
+        at, walk, references = r.pos & 7, [], []
+        add, following = walk.append, memoryview(four)
         while at < most:
-            k = step[at]
-            if k:
-                add(at)
-                at += k
+            if not step[at]:
+                tables = tables or [x.tolist() for c in (code, codes[4]) for x in (c.symbols, c.sizes)]
+                pos = 8 * first + at
+                ahead, fields = int.from_bytes(r.data[pos >> 3 : (pos >> 3) + 16], "little") >> (pos & 7), []
+                for symbols, bits, m in ((tables[0], tables[1], m0), (tables[2], tables[3], m4)):
+                    prefix, used = symbols[ahead & m] & 255, bits[ahead & m]  # 256 is the first length
+                    ahead >>= used
+                    extra = 0 if prefix < 4 else (prefix - 2) >> 1
+                    fields.append((prefix if prefix < 4 else ((2 + (prefix & 1)) << extra) + (ahead & ((1 << extra) - 1))) + 1)
+                    ahead >>= extra
+                    at += used + extra
+                references.append((pos - 8 * first, *fields, 8 * first + at))
                 continue
-            # What stands before a back-reference counts first: the image may end there.
-            if n + len(starts) - done >= total:
+            add(at)
+            at = following[at]
+        met, begun = np.array(walk, np.int32), np.zeros(most + 16, bool)
+        for places in (met, one[met], two[met], three[met]):
+            begun[places] = True
+        starts = begun[:most].nonzero()[0]
+        own = index[starts]
+        literal = sizes[own] > 0
+        starts, values = starts[literal], greens[own[literal]].tobytes()
+        places = np.searchsorted(starts, [x[0] for x in references]).tolist()
+        done, end = 0, r.pos if not references and not len(values) else -1
+        for (_, length, place, after), to in zip(references, places, strict=True):
+            if len(out) + to - done >= total:
                 break
-            out += greens[index[starts[done:]]].tobytes()
-            n, done = n + len(starts) - done, len(starts)
-            r.pos = 8 * first + at
-            length = _extended(r, code.read(r) - 256)
-            place = _extended(r, codes[4].read(r))
+            out += values[done:to]
+            done, n = to, len(out)
             back = place - 120 if place > 120 else near[place]
             if back > n or n + length > total:
                 raise Corrupt("a back-reference leaves the image")
             piece = out[n - back : n - back + length]
             out += piece if len(piece) == length else (piece * (length // len(piece) + 1))[:length]
-            n += length
-            at = r.pos - 8 * first
-            if n == total:
-                break
-        keep = starts[done : done + total - n]
-        out += greens[index[keep]].tobytes()
-        n += len(keep)
-        if keep:
-            at = keep[-1] + step[keep[-1]]
-        r.pos = 8 * first + at
-        if r.pos > r.end or (n < total and r.pos >= r.end):
+            end = after
+        keep = min(len(values), done + total - len(out))
+        out += values[done:keep]
+        n = len(out)
+        if keep > done:  # the next symbol comes after the last literal that counts
+            last = int(starts[keep - 1])
+            end = 8 * first + last + step[last]
+        if end < 0 or end > r.end or (n < total and end >= r.end):
             raise Corrupt("the bit stream ends early")
+        r.pos = end
     return (np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(rest)).reshape(height, width)
 
 
-#: The most bits that a symbol takes, and the bits that are taken out of the stream at once.
-SYMBOL, AHEAD = 64, 192
+#: Bits that are taken out of the stream at once.
+AHEAD = 192
 
 
 def _read_symbols(r: Reader, width: int, height: int, codes, meta, meta_bits: int, cache_bits: int) -> np.ndarray:
@@ -666,10 +693,17 @@ def _matches(flat: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
     """Back-references (place, length, distance) by which an image repeats itself: each goes to the last place with the same first pixels."""
     if len(flat) <= shortest:
         return []
-    key = np.zeros(len(flat) - shortest + 1, np.uint64)
-    for i in range(shortest):
-        key = (key ^ flat[i : len(key) + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(31)
+    rest = flat & np.uint32(0xFFFF00FF)
+    width = 1 if (rest == rest[0]).all() else 4  # of one channel, bytes do
+    raw = (flat >> np.uint32(8)).astype(np.uint8).tobytes() if width == 1 else flat.tobytes()
+    shortest = max(shortest, 8 // width)
+    count = len(flat) - shortest + 1
+    if count < 2:
+        return []
+    # Eight bytes from each pixel on, and the last eight of the shortest reference.
+    key = np.ndarray((count,), "<u8", raw, 0, (width,)).copy()
+    if shortest * width > 8:
+        key = key * np.uint64(0x9E3779B97F4A7C15) + np.ndarray((count,), "<u8", raw, shortest * width - 8, (width,))
     order = np.argsort(key, kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     before = np.full(len(key), -1)
@@ -677,7 +711,6 @@ def _matches(flat: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
     places = np.flatnonzero(before >= 0)
     if not len(places):
         return []
-    raw, width = flat.tobytes(), flat.itemsize
     out, at, number = [], 0, int.from_bytes
     for i, j in zip(places.tolist(), before[places].tolist(), strict=True):
         if i < at:
@@ -710,6 +743,10 @@ def _cached(flat: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return slot, hit
 
 
+#: Codes and sizes of a code of one symbol.
+_NONE = np.zeros(280, np.int64), np.zeros(280, np.int64)
+
+
 @lru_cache(maxsize=64)
 def _near(width: int) -> dict[int, int]:
     """Distances that have a code of their own, in images of that width."""
@@ -748,6 +785,11 @@ def _write_image(w: Writer, pixels: np.ndarray, cache_bits: int, main: bool, sho
         w.bits(0, 1)
     tables = []
     for c in counts:
+        used = c.nonzero()[0]
+        if len(used) < 2 and (not len(used) or used[0] < 256):
+            w.few += [(1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8)]
+            tables.append(_NONE)
+            continue
         lengths = code_lengths(c)
         if np.count_nonzero(lengths) == 1 and np.flatnonzero(lengths)[0] > 255:
             lengths[0] = 1  # a second symbol, for a code whose only one has no short form
@@ -757,7 +799,7 @@ def _write_image(w: Writer, pixels: np.ndarray, cache_bits: int, main: bool, sho
     values, sizes = np.zeros((len(green), 4), np.int64), np.zeros((len(green), 4), np.int64)
     values[:, 0], sizes[:, 0] = tables[0][0][green], tables[0][1][green]
     for k, c in enumerate(channels, 1):
-        if tables[k][1].any():
+        if tables[k] is not _NONE:
             values[: len(single), k] = np.where(pure, tables[k][0][c], 0)
             sizes[: len(single), k] = np.where(pure, tables[k][1][c], 0)
     values[len(single) :, 1:] = np.stack([symbol, tables[4][0][dist], more], 1)
