@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.functions import scalar as s
 from granary.operators import relational as r
 from granary.plans.registry import register
+from granary.sources import catalog, generator
 from granary.sources.catalog import load
 
 
@@ -363,3 +364,46 @@ def _(t):
 @query("partsupp_derived", "SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, count(*) AS ps_availqty, min(l_extendedprice / l_quantity) AS ps_supplycost FROM lineitem GROUP BY 1, 2")
 def _(t):
     return t("partsupp")
+
+
+# Sources: files, dictionaries and the generator.
+def _written(spark, sf_dir, table, files=None):
+    """A table written as delimited files, and the folder."""
+    where = catalog.scratch(spark)
+    catalog.write_delimited(load(spark, sf_dir, table), where, files)
+    return where
+
+
+def _delimited(spark, sf_dir):
+    where = _written(spark, sf_dir, "supplier", 3)
+    return catalog.read_delimited(spark, [where], "s_suppkey bigint, s_name string, s_nationkey bigint, s_acctbal double")
+
+
+def _dictionary(spark, sf_dir):
+    entry = {"tableName": "own", "fileType": "CSV", "distributedFilePaths": [_written(spark, sf_dir, "region")], "columnNames": ["k", "name"], "columnTypes": ["bigint(20)", "char(25)"]}
+    return catalog.Catalog.of_dictionary(spark, [entry]).table("own")
+
+
+register("source_delimited", _delimited, "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+register("source_dictionary", _dictionary, "SELECT r_regionkey AS k, r_name AS name FROM region")
+register(
+    "source_generated_nations",
+    lambda spark, sf_dir: generator.generate(spark, "nation").join(generator.generate(spark, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name"),
+    "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}', '{generator.REGIONS[k]}')" for i, (n, k) in enumerate(generator.NATIONS)) + ") AS v(n_nationkey, n_name, r_name)",
+)
+register(
+    "source_generated_lines",
+    lambda spark, sf_dir: r.group(
+        r.join(generator.generate(spark, "lineitem", 0.01, parts=5), generator.generate(spark, "orders", 0.01), [("l_orderkey", "o_orderkey")]).filter("l_shipdate > o_orderdate"),
+        ["l_linenumber"], n="count_all", orders=("count_distinct", "l_orderkey"),
+    ),
+    # 15,000 orders less the last ones, whose lines go beyond 60,000: seven orders have from one to seven lines.
+    "WITH o AS (SELECT range AS k, [4, 1, 6, 3, 7, 2, 5][range % 7 + 1] AS n FROM range(15000)), l AS (SELECT k, unnest(range(1, n + 1)) AS line FROM o), "
+    "f AS (SELECT *, row_number() OVER (ORDER BY k, line) AS place FROM l) SELECT line AS l_linenumber, count(*) AS n, count(DISTINCT k) AS orders FROM f WHERE place <= 60000 GROUP BY ALL",
+)
+for _table, _key in (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("orders", "o_orderkey")):
+    register(
+        f"source_generated_{_table}",
+        lambda spark, sf_dir, t=_table, k=_key: r.group(generator.generate(spark, t, 0.01), n="count_all", low=("min", k), high=("max", k)),
+        f"SELECT {generator.rows_of(_table, 0.01)}::BIGINT AS n, 1::BIGINT AS low, {generator.rows_of(_table, 0.01)}::BIGINT AS high",
+    )

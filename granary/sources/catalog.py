@@ -110,6 +110,14 @@ def write_delimited(df: DataFrame, path: str, files: int | None = None) -> None:
 SCAN_BYTES: dict[str, int] = {}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all machines share: below spark.checkpoint.dir, or the warehouse."""
+    import uuid
+
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table of a data folder; partsupp, which there isn't, from lineitem."""
     if name == "partsupp":

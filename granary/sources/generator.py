@@ -22,7 +22,11 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 MODES = ("REG AIR", "AIR", "RAIL", "SHIP", "TRUCK", "MAIL", "FOB")
 INSTRUCTIONS = ("DELIVER IN PERSON", "COLLECT COD", "NONE", "TAKE BACK RETURN")
 SIZES_OF_TYPE = ("STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO")
-#: Rows at scale factor 1. Lines are four to an order.
+# Parts of the names of containers.
+CONTAINERS = tuple(f"{a} {b}" for a in ("SM", "LG", "MED", "JUMBO", "WRAP") for b in ("CASE", "BOX", "BAG", "JAR", "PKG", "PACK", "CAN", "DRUM"))
+#: Lines of seven orders that follow each other, from one to seven: four to an order in the mean.
+LINES = (4, 1, 6, 3, 7, 2, 5)
+#: Rows at scale factor 1.
 ROWS = {"supplier": 10_000, "customer": 150_000, "part": 200_000, "partsupp": 800_000, "orders": 1_500_000, "lineitem": 6_000_000}
 
 
@@ -71,14 +75,17 @@ def generate(spark: SparkSession, table: str, scale: float = 1.0, offset: int =
         return ids.select(
             key.alias("p_partkey"), F.concat_ws(" ", F.lit("part"), key).alias("p_name"), F.format_string("Manufacturer#%d", maker).alias("p_mfgr"),
             F.format_string("Brand#%d%d", maker, _number("brand", 5) + 1).alias("p_brand"), _pick(SIZES_OF_TYPE, "type").alias("p_type"),
-            (_number("size", 50) + 1).alias("p_size"), F.lit("JUMBO BOX").alias("p_container"), (90_000 + F.pmod(key, F.lit(1000)) * 100) .cast("double").alias("p_retailprice"), comment("p_comment"),
+            (_number("size", 50) + 1).alias("p_size"), _pick(CONTAINERS, "container").alias("p_container"), (90_000 + F.pmod(key, F.lit(1000)) * 100) .cast("double").alias("p_retailprice"), comment("p_comment"),
         ).withColumn("p_retailprice", F.col("p_retailprice") / 100)
     if table == "partsupp":
         return ids.select(
             (F.expr("id div 4") + 1).alias("ps_partkey"), (F.pmod(F.expr("id div 4") + F.pmod(F.col("id"), F.lit(4)) * (suppliers // 4 + 1), F.lit(suppliers)) + 1).alias("ps_suppkey"),
             (_number("qty", 9999) + 1).alias("ps_availqty"), _money("cost", 100, 100_001).alias("ps_supplycost"), comment("ps_comment"),
         )
-    order = F.col("id") if table == "orders" else F.expr("id div 4")
+    at = F.pmod(F.col("id"), F.lit(sum(LINES))).cast("int")
+    turn = F.get(F.array(*[F.lit(k) for k, n in enumerate(LINES) for _ in range(n)]), at)
+    line = F.get(F.array(*[F.lit(i + 1) for n in LINES for i in range(n)]), at).cast("bigint")
+    order = F.col("id") if table == "orders" else F.expr(f"id div {sum(LINES)}") * len(LINES) + turn
     day = F.date_add(F.lit("1992-01-01").cast("date"), F.pmod(F.xxhash64(order, F.lit("day")), F.lit(2406)).cast("int"))
     if table == "orders":
         return ids.select(
@@ -90,7 +97,7 @@ def generate(spark: SparkSession, table: str, scale: float = 1.0, offset: int =
         ship = F.date_add(day, (_number("ship", 121) + 1).cast("int"))
         return ids.select(
             (order + 1).alias("l_orderkey"), (_number("part", parts_) + 1).alias("l_partkey"), (_number("supplier", suppliers) + 1).alias("l_suppkey"),
-            (F.pmod(F.col("id"), F.lit(4)) + 1).alias("l_linenumber"), (_number("quantity", 50) + 1).cast("double").alias("l_quantity"),
+            line.alias("l_linenumber"), (_number("quantity", 50) + 1).cast("double").alias("l_quantity"),
             _money("price", 90_000, 10_000_000).alias("l_extendedprice"), (_number("discount", 11) / 100.0).alias("l_discount"), (_number("tax", 9) / 100.0).alias("l_tax"),
             _pick(("R", "A", "N"), "flag").alias("l_returnflag"), _pick(("O", "F"), "line").alias("l_linestatus"), ship.alias("l_shipdate"),
             F.date_add(day, (_number("commit", 61) + 30).cast("int")).alias("l_commitdate"), F.date_add(ship, (_number("receipt", 30) + 1).cast("int")).alias("l_receiptdate"),
