@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows of a batch that Spark hands to Python; bounds a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that Spark hands to Python, but for a row that is longer; bounds a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: A side is broadcast only when Spark's statistics give it at most this many bytes; files are compressed, so it may take some times more in memory.
 BROADCAST_BYTES = 4 << 20
 
@@ -24,12 +24,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and keep Arrow batches small."""
+    """Let Python workers import this package and keep Arrow batches small.
+
+    Both hold for the session: plans run only after the operator has returned.
+    """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

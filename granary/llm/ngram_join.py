@@ -20,7 +20,8 @@ are worked off by components: each entry is counted against one central row;
 of the rest only pairs of different components are, and only if sizes and
 the entries that are left from this column on allow a link.
 
-Sets are made of 63-bit hashes of shingles.
+Sets are made of 63-bit hashes of shingles, and rows with the same 128-bit hash
+of their set count as one set.
 """
 
 from __future__ import annotations
@@ -39,10 +40,12 @@ WORDS = 5
 ENTRIES, PASSES = 20, 3
 #: Long columns known to all tasks: the longest ones, 512 KB. Which they are changes the order, not the links.
 LONG = 1 << 16
+#: Ratio of the sizes of a band: a little more than that of two sets that link at most.
+BAND = 1.26
 #: Texts that are split at once, and rows of token sets in a batch.
 TEXTS, SETS = 250, 200
 #: Rows of entries in a batch.
-ROWS = 50_000
+ROWS = 30_000
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -319,10 +322,12 @@ class _Join:
         least = told.where("can").groupBy("token").agg(F.min("ord").alias("from"))
         facts = often.where("labels > 1").join(least, "token").select("token", F.col("top.label").alias("main"), "from")
         left = common.materialize(told.join(facts, "token").where("can or ord >= from").withColumn("other", F.col("label") != F.col("main")), "left", narrow=True)
-        a = left.where("can").select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "ord", "reach", "label", "other")])
-        b = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "ord", "label", "other")])
+        # Sizes that allow a link lie in the same band or in the next one.
+        band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+        a = left.where("can").select("token", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda x: x + band)).alias("band"), *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "ord", "reach", "label", "other")])
+        b = left.select("token", band.alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "ord", "label", "other")])
         fits = "ord_a <= ord_b and id_a != id_b and label_a != label_b and n_b <= reach_a and 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
-        cross = a.where("other_a").join(b, "token").where(fits).select("id_a", "id_b").union(a.where("not other_a").join(b.where("other_b"), "token").where(fits).select("id_a", "id_b"))
+        cross = a.where("other_a").join(b, ["token", "band"]).where(fits).select("id_a", "id_b").union(a.where("not other_a").join(b.where("other_b"), ["token", "band"]).where(fits).select("id_a", "id_b"))
         return edges.union(self.linked(cross.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()))
 
     def components(self) -> DataFrame:

@@ -44,6 +44,27 @@ def test_one_document_of_each_group(stages):
     assert sorted(r.doc_id for r in stages[3]) == sorted(kept)
 
 
+def test_rows_that_share_an_id(spark):
+    """Different texts under one id are told apart, near copies go whatever their ids, and of rows equal in both one stays."""
+    words = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(words), " ".join([*words[:-1], "changed"]), " ".join(reversed(words))
+    rows = [(1, a), (1, other), (2, near), (None, near), (None, "a text without an id"), (None, "a text without an id"), (1, a), (3, None), (4, ""), (3, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, other), (None, "a text without an id"), (3, None), (4, "")], key=str)
+
+
+def test_tables_go_with_their_stage(spark):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    with common.own_tables() as keep:
+        common.materialize(spark.range(3), "gone")
+        kept = keep(common.materialize(spark.range(4), "kept-table"))
+    assert kept.count() == 4 and not list(folder.glob("gone-*")) and len(list(folder.glob("kept-table-*"))) == 1
+
+
 def test_mixing_adds_no_texts(stages):
     before = {r.doc_id: r.text for r in stages[3]}
     assert stages[4] and all(before[r.doc_id] == r.text for r in stages[4])
