@@ -5,6 +5,14 @@ joins them with the merge table and contracts the leftmost pair of the least
 rank in each word, until no word has a pair left; ordered aggregation gives
 each word's ids, and its bytes back from the ids. Words are kept in a table
 of bounded size, so a frequent word is encoded once.
+
+A word of n bytes makes up to n * n / 2 rows, one for each token and round. So words
+are put together to queries by that figure, and a word of over 256 bytes is
+encoded in pieces that overlap. Its tokens are those of the pieces, cut
+over where two pieces agree. This is exact: tokens are the encoding of their
+bytes if each two neighbours alone are the encoding of theirs, as the first
+merge across a boundary would also be made among the two neighbours alone.
+Each cut is checked so; pieces double if one has no place for a cut.
 """
 
 from __future__ import annotations
@@ -12,31 +20,35 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import heapq
 import os
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from granary.llm import common
 
-#: Known words at most; and words of one recursive query.
-KEPT, STEP = 450_000, 50_000
+#: Known words at most.
+KEPT = 150_000
+#: Rows that a recursive query may make, over all rounds.
+ROWS = 1_000_000
 #: A position takes this many bits of a merge's sort key.
-POSITION_BITS = 20
-#: Longer words (in bytes) are merged with a queue: recursion would need a round for each merge.
-LONGEST = 128
+POSITION_BITS = 32
+#: Longer words (in bytes) are encoded in pieces of that size.
+PIECE = 256
 #: Below this character, letters are the same ones in all versions of Unicode that matter.
 LATIN_END = "\u0250"
-#: Texts looked up at once.
-TEXTS = 500
+#: Texts looked up at once, and characters of them beyond which no other text is added.
+TEXTS, CHARACTERS = 500, 4_000_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Rows hold a token, the one after it (-1: none) and their place; a merge at
 #: place p keeps row p + 1, drops row p and renews what row p - 1 says of the next.
-ENCODE = f"""
+RECURSION = f"""
 WITH RECURSIVE step(w, pos, t, u, it) AS (
   SELECT w, pos, t, u, 0 FROM start
   UNION ALL
@@ -47,13 +59,22 @@ WITH RECURSIVE step(w, pos, t, u, it) AS (
     FROM (SELECT s2.w, (CAST(merges.m AS BIGINT) << {POSITION_BITS}) | s2.pos AS key
           FROM step s2 JOIN merges ON s2.t = merges.a AND s2.u = merges.b) GROUP BY w
   ) b ON s.w = b.w
-  WHERE s.pos <> b.p
+  WHERE s.pos <> b.p AND s.it < $rounds
 ), last AS (SELECT w, max(it) AS it FROM step GROUP BY w)
+"""
+
+#: Ids and decoded bytes of each word.
+ENCODE = f"""{RECURSION}
 SELECT step.w, string_agg(CAST(t AS VARCHAR), ',' ORDER BY pos) AS ids, unhex(string_agg(bytes, '' ORDER BY pos)) AS decoded
 FROM step JOIN last ON step.w = last.w AND step.it = last.it JOIN vocabulary ON t = vocabulary.id
 GROUP BY step.w ORDER BY step.w
 """
 
+#: What a word is after so many rounds.
+ADVANCE = f"""{RECURSION}
+SELECT step.w, pos, t, u, step.it FROM step JOIN last ON step.w = last.w AND step.it = last.it ORDER BY step.w, pos
+"""
+
 DECODE = """
 SELECT w, string_agg(bytes, '' ORDER BY pos) AS decoded FROM ids JOIN vocabulary ON t = vocabulary.id GROUP BY w ORDER BY w
 """
@@ -73,12 +94,22 @@ class Encoder:
         #: The shortcut of cutting at single spaces holds for patterns that let a word take one space in front.
         self.cut = self.pattern.findall("a bé 1 ,x\n\ny") == ["a", " bé", " ", "1", " ,", "x", "\n", "\n", "y"] or self.pattern.findall("a b\nc") == ["a", " b", "\n", "c"]
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        pairs = [(a, b, m) for word, m in self.ranks.items() for i in range(1, len(word)) if (a := self.ranks.get(word[:i])) is not None and (b := self.ranks.get(word[i:])) is not None]
-        self.tables = {"merges": pa.table(dict(zip("abm", (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)), strict=True)))}
+        a, b, m = (array("i") for _ in range(3))
+        for word, rank in self.ranks.items():
+            for i in range(1, len(word)):
+                left, right = self.ranks.get(word[:i]), self.ranks.get(word[i:])
+                if left is not None and right is not None:
+                    a.append(left)
+                    b.append(right)
+                    m.append(rank)
+        self.tables = {"merges": pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "m": pa.array(m, pa.int32())})}
         self.tables["vocabulary"] = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [w.hex() for w in self.ranks]})
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int32)
+        self.sizes[list(self.ranks.values())] = [len(w) for w in self.ranks]
         self.db = None
-        #: Words that are tokens as they are.
-        self.whole = {text: (str(m), w) for w, m in self.ranks.items() if (text := w.decode("utf-8", "replace")).encode() == w}
+        #: Words that are tokens as they are: the library doesn't merge them.
+        self.whole = {text: m for w, m in self.ranks.items() if (text := w.decode("utf-8", "replace")).encode() == w}
+        del self.ranks
         #: Ids (decimal, joined by commas) and bytes of what follows a space in a text, by that without the
         #: space; and of words that follow none.
         self.spaced_ids: dict[str, str] = {}
@@ -91,7 +122,7 @@ class Encoder:
         import duckdb
 
         if self.db is None:
-            self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
+            self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": "", "preserve_insertion_order": False})
             for name, rows in self.tables.items():
                 self.db.register("rows", rows)
                 self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
@@ -123,30 +154,6 @@ class Encoder:
             else:
                 self.plain_ids[w], self.plain_bytes[w] = i, r
 
-    def merge_long(self, word: bytes) -> list[int]:
-        """Ids of a long word, by a queue of pairs."""
-        ranks, parts = self.ranks, [word[i : i + 1] for i in range(len(word))]
-        after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
-        queue: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (m := ranks.get(parts[i] + parts[after[i]])) is not None:
-                heapq.heappush(queue, (m, i, after[i]))
-
-        for i in range(len(parts) - 1):
-            offer(i)
-        while queue:
-            m, i, j = heapq.heappop(queue)
-            if not parts[i] or after[i] != j or ranks.get(parts[i] + parts[j]) != m:
-                continue
-            parts[i], parts[j] = parts[i] + parts[j], b""
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i])
-            offer(i)
-        return [ranks[p] for p in parts if p]
-
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids."""
         rows = pa.table({
@@ -159,33 +166,92 @@ class Encoder:
         self.db.unregister("ids")
         return [bytes.fromhex(got.get(i, "")) for i in range(len(ids))]
 
+    def start(self, words: pa.Array) -> tuple[pa.Table, np.ndarray]:
+        """The bytes of words (binary) as rows of tokens, and how many each word has."""
+        size = np.diff(np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1])
+        end = np.cumsum(size)
+        t = self.byte[np.frombuffer(words.buffers()[2], np.uint8)[: end[-1]]]
+        u = np.append(t[1:], -1).astype(np.int32)
+        u[end - 1] = -1
+        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": (np.arange(len(t)) - np.repeat(end - size, size)).astype(np.int32), "t": t, "u": u}), size
+
+    def ask(self, query: str, rows: pa.Table, rounds: int) -> pa.Table:
+        self.db.register("start", rows)
+        try:
+            return self.db.sql(query, params={"rounds": rounds}).to_arrow_table()
+        finally:
+            self.db.unregister("start")
+
+    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of words (none empty), which may be long: rounds are shared out over queries so that none makes too many rows."""
+        out: list[np.ndarray] = []
+        for part in _steps(words):
+            rows, _ = self.start(pa.array(part, pa.binary()))
+            while True:
+                rounds = max(1, ROWS // len(rows))
+                got = self.ask(ADVANCE, rows, rounds)
+                rows = got.select(["w", "pos", "t", "u"])
+                if not len(got) or pc.max(got["it"]).as_py() < rounds:
+                    break
+            w, t = rows["w"].to_numpy(), rows["t"].to_numpy()
+            out += np.split(t, np.flatnonzero(np.diff(w)) + 1)
+        return out
+
+    def merge_long(self, word: bytes, piece: int = PIECE) -> np.ndarray:
+        """Ids of a word, from pieces that overlap by half."""
+        half = piece // 2
+        if len(word) <= piece:
+            return self.merge([word])[0]
+        begin = range(0, len(word) - half, half)
+        ids = self.merge([word[i : i + piece] for i in begin])
+        ends = [i + np.cumsum(self.sizes[x]) for i, x in zip(begin, ids, strict=True)]
+        # Places inside an overlap where a token ends in both pieces; the nearest to the middle comes first.
+        places = []
+        for k in range(1, len(ids)):
+            both = np.intersect1d(ends[k - 1], ends[k])
+            both = both[(both > begin[k]) & (both < min(begin[k] + half, len(word)))]
+            places.append(both[np.argsort(np.abs(both - begin[k] - half // 2), kind="stable")])
+        cuts, open_cuts = [-1] * len(places), list(range(len(places)))
+        for turn in range(max(map(len, places))):
+            wanted = {}
+            for k in open_cuts:
+                if turn < len(places[k]):
+                    at = places[k][turn]
+                    left, right = ids[k][np.searchsorted(ends[k], at)], ids[k + 1][np.searchsorted(ends[k + 1], at) + 1]
+                    wanted.setdefault((int(left), int(right)), []).append((k, int(at)))
+            if not wanted:
+                break
+            at = [x[0][1] for x in wanted.values()]
+            again = self.merge([word[i - self.sizes[a] : i + self.sizes[b]] for i, (a, b) in zip(at, wanted, strict=True)])
+            for pair, got in zip(wanted, again, strict=True):
+                if got.tolist() == list(pair):
+                    for k, i in wanted[pair]:
+                        cuts[k] = i
+            open_cuts = [k for k in open_cuts if cuts[k] < 0]
+            if not open_cuts:
+                break
+        if open_cuts:
+            return self.merge_long(word, 2 * piece)
+        first, last = [-1, *cuts], [*cuts, len(word)]
+        return np.concatenate([x[(e > a) & (e <= b)] for x, e, a, b in zip(ids, ends, first, last, strict=True)])
+
     def learn(self, words: list[str]) -> None:
         """Encode words that aren't known, and decode their ids."""
         whole = self.whole
         alone = [w for w in words if w in whole]
-        self.keep(alone, [whole[w][0] for w in alone], [whole[w][1] for w in alone])
-        rest = [w for w in words if w not in whole]
-        for i in range(0, len(rest), STEP):
-            part = rest[i : i + STEP]
-            if any(len(w) > LONGEST // 4 for w in part):  # a character has four bytes at most
-                for w in part:
-                    if len(raw := w.encode("utf-8", "surrogatepass")) > LONGEST:
-                        ids = self.merge_long(raw)
-                        self.keep([w], [",".join(map(str, ids))], self.decode([ids]))
-                part = [w for w in part if len(w.encode("utf-8", "surrogatepass")) <= LONGEST]
-            if not part:
-                continue
-            column = pa.array(part, pa.string())
-            size = np.diff(np.frombuffer(column.buffers()[1], np.int32)[: len(part) + 1])
-            end = np.cumsum(size)
-            t = self.byte[np.frombuffer(column.buffers()[2], np.uint8)[: end[-1]]]
-            u = np.append(t[1:], -1).astype(np.int32)
-            u[end - 1] = -1
-            rows = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), size), "pos": (np.arange(len(t)) - np.repeat(end - size, size)).astype(np.int32), "t": t, "u": u})
-            self.db.register("start", rows)
-            got = self.db.sql(ENCODE).to_arrow_table()
-            self.db.unregister("start")
-            self.keep(part, got["ids"].to_pylist(), got["decoded"].to_pylist())
+        self.keep(alone, [str(whole[w]) for w in alone], [w.encode() for w in alone])
+        rest, long = [], []
+        for w in words:
+            if w not in whole:
+                raw = w.encode("utf-8", "surrogatepass")
+                (rest if len(raw) <= PIECE else long).append((w, raw))
+        for part in _steps(rest, lambda x: len(x[1])):
+            rows, size = self.start(pa.array([raw for _, raw in part], pa.binary()))
+            got = self.ask(ENCODE, rows, int(size.max()))
+            self.keep([w for w, _ in part], got["ids"].to_pylist(), got["decoded"].to_pylist())
+        for w, raw in long:
+            ids = self.merge_long(raw)
+            self.keep([w], [",".join(map(str, ids.tolist()))], self.decode([ids.tolist()]))
 
     def parts(self, text: str) -> tuple[list[str], bool]:
         """Pieces of a text that encode apart from each other; whether each but the first has lost a space in front."""
@@ -228,6 +294,20 @@ class Encoder:
         return out
 
 
+def _steps(words: list, size=len) -> Iterator[list]:
+    """words in parts of which none makes more rows in a recursive query than ROWS, but for one word alone."""
+    part, rows = [], 0
+    for w in words:
+        own = size(w) * (size(w) + 1) // 2
+        if part and rows + own > ROWS:
+            yield part
+            part, rows = [], 0
+        part.append(w)
+        rows += own
+    if part:
+        yield part
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str, process: int) -> Encoder:
     del process  # a database isn't shared with a forked process
@@ -256,11 +336,10 @@ def bpe_encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids:
     at = df.columns.index(text)
 
     def run(batches):
-        gc.disable()  # nothing here refers to itself, and the tables of words are slow to walk
         e = encoder(ranks, pattern)
-        for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(i, TEXTS)
+        gc.disable()  # nothing here refers to itself, and the tables of words are slow to walk
+        try:
+            for batch in common.pieces(batches, at, TEXTS, CHARACTERS):
                 got = e.encode([t or "" for t in batch.column(at).to_pylist()])
                 own = [
                     pa.array([g[0] for g in got], pa.int64()),
@@ -270,8 +349,9 @@ def bpe_encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids:
                 if ids:
                     own.append(pa.array([np.fromstring(g[1], np.int32, sep=",") if g[1] else [] for g in got], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[f"c{j}" for j in range(batch.num_columns + len(own))])
-        e.close()
-        gc.enable()
+        finally:
+            gc.enable()
+            e.close()
 
     return common.map_arrow(df, run, SCHEMA + ", token_ids array<int>" * ids)
 
@@ -287,13 +367,13 @@ def bpe_decode(df: DataFrame, ranks: str, pattern: str, ids: str = "token_ids")
 
     def run(batches):
         e = encoder(ranks, pattern)
-        for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(i, TEXTS)
+        try:
+            for batch in common.pieces(batches, at, TEXTS, CHARACTERS):
                 lists = batch.column(at).to_pylist()
                 raw = e.decode([x or [] for x in lists])
                 own = pa.array([None if x is None else r for x, r in zip(lists, raw, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[f"c{j}" for j in range(batch.num_columns + 1)])
-        e.close()
+        finally:
+            e.close()
 
     return common.map_arrow(df, run, "decoded binary")

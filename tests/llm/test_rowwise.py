@@ -87,6 +87,47 @@ def test_byte_bpe(docs, empty):
     assert bpe_encode(empty, path, pattern).collect() == []
 
 
+def test_byte_bpe_of_long_words_and_many_words():
+    """Against the library: words that are encoded in pieces, and more new words than one query takes."""
+    import random
+
+    import public_tokenizers as p
+
+    from granary.llm import byte_bpe as m
+
+    library, pattern = library_bpe()
+    e = m.Encoder(p.path("byte_bpe_multi_50k.tiktoken"), pattern)
+    e.open()
+    rng = random.Random(1)
+    han = [chr(c) for c in range(0x4E00, 0x9FA5)]
+    texts = [
+        "a" * 20_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "".join(rng.choices("ACGT", k=30_000)), "".join(rng.choices(han, k=5_000)),
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=120)) for _ in range(2000)), "，".join("".join(rng.choices(han, k=20)) for _ in range(20_000)), "=" * 5000 + "\n" * 3000,
+    ]
+    parts = ["ab", "abc", "the", "x", "é", "日", "ing", "tion"]
+    texts += ["".join(rng.choices(parts[: rng.randint(1, 8)], k=rng.randint(100, 1500))) for _ in range(60)]
+    for t in texts:
+        ids = library.encode_ordinary(t)
+        assert e.encode([t]) == [(len(ids), ",".join(map(str, ids)), t.encode())]
+    e.close()
+
+
+@pytest.mark.parametrize("piece", [4, 8, 16])
+def test_byte_bpe_pieces_double(piece, monkeypatch):
+    """Pieces too short for a cut, and words that need more rounds than one query has."""
+    import public_tokenizers as p
+
+    from granary.llm import byte_bpe as m
+
+    library, pattern = library_bpe()
+    monkeypatch.setattr(m, "ROWS", 300)
+    e = m.Encoder(p.path("byte_bpe_multi_50k.tiktoken"), pattern)
+    e.open()
+    for word in ("international" * 9, "x" * 100, "abcdefgh" * 12):
+        assert e.merge_long(word.encode(), piece).tolist() == library.encode_single_token(word) if word in e.whole else e.merge_long(word.encode(), piece).tolist() == library.encode_ordinary(word)
+    e.close()
+
+
 def test_decode_nulls(spark):
     from granary.llm.byte_bpe import bpe_decode
 
@@ -111,6 +152,91 @@ def test_media(docs, empty):
         assert load(store(data))[1] == data.ljust(max(64, -(-size // 64) * 64), b"\0")
 
 
+def read_back(media):
+    """What a reader of the first file meets: transforms, and kinds of symbols."""
+    met = set()
+    real, kinds = webp._read_symbols, {webp.PREDICTOR: "predictor", webp.CROSS_COLOUR: "cross-colour", webp.PALETTE: "palette"}
+    undo = {"unpredict": "predictor", "cross_colour": "cross-colour", "unpalette": "palette"}
+
+    def watched(name):
+        f = getattr(webp, name)
+
+        def g(*a):
+            met.add(undo[name])
+            return f(*a)
+
+        return g
+
+    def symbols(r, width, height, codes, *others):
+        if others[-1]:
+            met.add("cache")
+        if any(c.most > 1 for c in codes[0]):
+            met.add("codes")
+        if len({int(s) for s in codes[0][0].symbols if 256 <= s < 280}):
+            met.add("references")
+        return real(r, width, height, codes, *others)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(webp, "_read_symbols", symbols)
+        m.setattr(webp, "_read_green", lambda r, width, height, codes: symbols(r, width, height, [codes], None, 0, 0).reshape(height, width))
+        for name in undo:
+            m.setattr(webp, name, watched(name))
+        pixels = webp.decode(media)
+    assert set(kinds.values()) == set(undo.values())
+    return pixels, met
+
+
+def test_media_uses_what_the_format_has():
+    """On the query's path each feature is written for texts that it suits, and read again."""
+    import random
+
+    from granary.llm.media import load, store
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(300)]
+    prose = " ".join(rng.choice(words) for _ in range(20_000))
+    digits = "".join(rng.choices("0123456789 ", k=900))
+    rows = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=64)]
+    for _ in range(200):  # a byte in five differs from the one above
+        rows.append([x if rng.random() < 0.8 else rng.choice("abcdefghijklmnopqrstuvwxyz") for x in rows[-1]])
+    steps = "".join(map("".join, rows))
+    grey = "".join(chr(rng.randrange(33, 120)) * 3 + chr(rng.randrange(33, 120)) for _ in range(4000))
+    wanted = {prose: {"codes", "cache", "references"}, prose[:2000]: {"codes", "references"}, digits: {"palette", "codes"}, "ab" * 500: {"palette", "references"}, steps: {"predictor", "cache"}, grey: {"cross-colour", "codes"}}
+    for text, features in wanted.items():
+        data = text.encode()
+        _, met = read_back(store(data))
+        assert load(store(data))[1] == data.ljust(-(-len(data) // 64) * 64, b"\0") and features <= met, (text[:20], met)
+        assert len(store(data)) < 0.8 * len(data)
+
+
+def test_webp_files_made_elsewhere():
+    """A file that browsers are probed with: one transparent pixel. And one put together by hand: two groups of codes."""
+    one = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(one).tolist() == [[[0, 0, 0, 0]]]
+    w = webp.Writer()
+    for value, n in ((webp.SIGNATURE, 8), (8 - 1, 14), (1 - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (1, 1), (0, 3)):  # 8 x 1, no transform or cache, blocks of 4 pixels
+        w.bits(value, n)
+
+    def only(*symbols):
+        w.bits(1, 1)
+        w.bits(len(symbols) - 1, 1)
+        w.bits(1, 1)
+        for s in symbols:
+            w.bits(s, 8)
+
+    w.bits(0, 1)  # the image of group numbers: 0, 1, as green
+    for symbols in ((0, 1), (0,), (0,), (255,), (0,)):
+        only(*symbols)
+    w.bits(0, 1)
+    w.bits(1, 1)
+    for symbols in ((10, 20), (1,), (2,), (255,), (0,), (30, 40), (3,), (4,), (128,), (0,)):
+        only(*symbols)
+    for bit in (0, 1, 1, 0, 1, 0, 0, 1):
+        w.bits(bit, 1)
+    got = webp.decode(webp.wrap(w.bytes()))[0].tolist()
+    assert got == [[1, g, 2, 255] for g in (10, 20, 20, 10)] + [[3, g, 4, 128] for g in (40, 30, 30, 40)]
+
+
 @pytest.mark.parametrize("predictor", [None, *range(14)])
 @pytest.mark.parametrize("green", [False, True])
 def test_webp_transforms(predictor, green):
@@ -133,27 +259,34 @@ def test_webp_shapes(shape):
     pixels = np.random.default_rng(3).integers(0, 256, (*shape, 4), dtype=np.uint8)
     for predictor in (None, 1, 2, 11):
         assert (webp.decode(webp.encode(pixels, predictor=predictor)) == pixels).all()
-    assert (webp.decode(webp.encode_plain(pixels)) == pixels).all()
 
 
-def test_webp_plain_codes_are_read_symbol_by_symbol_too():
-    pixels = np.random.default_rng(4).integers(0, 256, (3, 5, 4), dtype=np.uint8)
-    r = webp.Reader(webp.chunks(webp.encode_plain(pixels))[0][1], 8 + 14 + 14 + 4 + 1 + 2)
-    codes = [webp.read_code(r, n) for n in (280, 256, 256, 256, 40)]
-    flat = webp._read_symbols(r, 5, 3, [codes], None, 0, 0)
-    assert (webp._channels(flat)[..., [2, 1, 0, 3]] == pixels).all()
+@pytest.mark.parametrize("cache", [0, 1, 5])
+def test_webp_large(cache, monkeypatch):
+    rng = np.random.default_rng(4)
+    pixels = np.concatenate([rng.integers(0, 256, (90, 16, 4), dtype=np.uint8), rng.integers(0, 3, (90, 16, 4), dtype=np.uint8), np.zeros((900, 16, 4), np.uint8)])
+    assert (webp.decode(webp.encode(pixels, cache)) == pixels).all()
+    pixels[..., 0], pixels[..., 2], pixels[..., 3] = 7, 8, 9  # of green alone: blocks of bits, against symbols one by one
+    media = webp.encode(pixels, 0)
+    assert (webp.decode(media) == pixels).all()
+    for size in (1, 10, 1000):
+        monkeypatch.setattr(webp, "BLOCK", size)
+        assert (webp.decode(media) == pixels).all()
+    monkeypatch.setattr(webp, "_read_green", lambda r, width, height, codes: webp._read_symbols(r, width, height, [codes], None, 0, 0))
+    assert (webp.decode(media) == pixels).all()
 
 
 def test_webp_damage(spark):
     from granary.llm.media import pixel_arrays
 
-    good = webp.encode_plain(np.zeros((2, 2, 4), np.uint8))
-    for bad in (b"", b"RIFF", good[:20], good[:-30], b"X" * 60):
+    good = webp.encode(np.random.default_rng(5).integers(0, 256, (2, 2, 4), dtype=np.uint8))
+    for bad in (b"", b"RIFF", good[:20], good[:-30], b"X" * 60, webp.wrap(webp.chunks(good)[0][1][:-8])):
         with pytest.raises(webp.Corrupt):
             webp.decode(bad)
-    df = spark.createDataFrame([(1, good, 5), (2, b"bad", 5), (3, None, 5)], "k int, media binary, width int")
-    got = {r.k: (r.width, r.height, r.pixels) for r in pixel_arrays(df).collect()}
-    assert got[1][:2] == (2, 2) and len(got[1][2]) == 16 and got[2] == got[3] == (None, None, None)
+    large = webp.encode(np.zeros((200, 200, 4), np.uint8))
+    df = spark.createDataFrame([(1, good, 5), (2, b"bad", 5), (3, None, 5), (4, large, 5)], "k int, media binary, width int")
+    got = {r.k: (r.width, r.height, r.pixels) for r in pixel_arrays(df, largest=10_000).collect()}
+    assert got[1][:2] == (2, 2) and len(got[1][2]) == 16 and got[2] == got[3] == got[4] == (None, None, None)
 
 
 def test_language_id(spark):
@@ -177,3 +310,48 @@ def test_language_id_held_out(spark):
     held = [r for r in op9_language_id(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert len(held) > 100 and np.mean([truth[r.doc_id] == r.lang_pred for r in held if truth[r.doc_id]]) > 0.97
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
+
+
+def test_language_id_against_plain_bayes(spark):
+    """Naive Bayes over n-grams, one by one, in dictionaries; hashing aside the same arithmetic."""
+    import math
+    import random
+
+    from granary.llm import language_id as m
+
+    rng = random.Random(5)
+    alphabets = {"x": "aabcde", "y": "abbcdf", "z": "acdeeg"}
+    training = [("".join(rng.choices(a + " ", k=200)), lang) for lang, a in alphabets.items() for _ in range(5)]
+
+    def buckets(text):
+        out = []
+        for w in text.lower().split():
+            own = m.grams([w])[0].tolist()
+            text_of = f"\x02{w}\x03"
+            assert len(own) == sum(max(0, len(text_of) - n + 1) for n in m.ORDERS)
+            out += own
+        return out
+
+    counts = {lang: {} for lang in alphabets}
+    for text, lang in training:
+        for b in buckets(text):
+            counts[lang][b] = counts[lang].get(b, 0) + 1
+    sums = {lang: sum(c.values()) + 0.5 * m.BUCKETS for lang, c in counts.items()}
+    texts = ["".join(rng.choices(rng.choice([*alphabets.values()]) + " ", k=rng.randint(1, 30))) + "a" for _ in range(40)] + ["abc " * 20_000, "abc", "abc"]
+    got = m.predict_languages(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string"), spark.createDataFrame(training, "text string, lang string"))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"]
+    for r in got.collect():
+        found = {lang: sum(math.log((c.get(b, 0) + 0.5) / sums[lang]) for b in buckets(r.text)) for lang, c in counts.items()}
+        best = max(sorted(found), key=found.get)
+        posterior = 1 / sum(math.exp(max(-700, v - found[best])) for v in found.values())
+        assert r.lang_pred == best or abs(found[r.lang_pred] - found[best]) < 1e-3 * abs(found[best])
+        assert abs(r.score - posterior) < 1e-2
+
+
+def test_language_id_holds_no_document_without_an_id_out(spark, tmp_path):
+    from granary.llm.queries import op9_language_id
+
+    df = spark.createDataFrame([(None, "some words", "en", "s", 10), (1, "other words", "en", "s", 11), (1, "other words", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars int")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = op9_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and all(r.held_out is (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
