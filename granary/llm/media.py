@@ -29,35 +29,36 @@ def estimated(image: np.ndarray) -> float:
     return 4 * image.size * np.log2(image.size) - float((counts * np.log2(counts)).sum())
 
 
-def _told(by: np.ndarray, of: np.ndarray) -> tuple[int, float]:
-    """How much of one channel another tells, in 32nds, as the format has it; and the share of the variance that this is."""
-    x, y = by.view(np.int8).astype(np.float32), of.view(np.int8).astype(np.float32)
-    x -= x.mean()
-    y -= y.mean()
-    xx, xy, yy = float(x @ x), float(x @ y), float(y @ y)
-    return int(np.clip(np.rint(32 * xy / max(xx, 1e-9)), -128, 127)), xy * xy / max(xx * yy, 1e-9)
+def _cross(pixels: np.ndarray) -> tuple[int, int, int]:
+    """How much of red and of blue green tells, in 32nds, as the format has it; 0 where that is a small part of the variance."""
+    c = pixels.reshape(-1, 4).view(np.int8).astype(np.float32)
+    mean = np.ones(len(c), np.float32) @ c / len(c)
+    both = (c.T @ c - len(c) * np.outer(mean, mean)).tolist()  # red, green, blue, alpha
+    green, out = both[1][1], []
+    for k in (0, 2):
+        xy = both[1][k]
+        out.append(max(-128, min(127, round(32 * xy / green))) if green > 0 and xy * xy > PROMISE * green * both[k][k] else 0)
+    return (*out, 0)
 
 
 def transforms(pixels: np.ndarray) -> dict:
     """The predictor (the left or the upper pixel) and the cross-colour factors that promise anything and make the estimate less."""
-    image = webp._packed(pixels[..., [2, 1, 0, 3]])
-    out, best = {}, None
-    for mode, same in ((1, pixels[:, 1:] == pixels[:, :-1]), (2, pixels[1:] == pixels[:-1])):
-        if np.count_nonzero(same) > PROMISE * same.size:
+    flat = pixels.ravel()
+    image, out, best = None, {}, None
+    for mode, back in ((1, 4), (2, UNIT)):
+        if np.count_nonzero(flat[back:] == flat[:-back]) > PROMISE * flat.size:
+            image = webp._packed(pixels[..., [2, 1, 0, 3]])
             best = estimated(image) if best is None else best
             rest = webp.residuals(image, mode)
             if (bits := estimated(rest) + TABLE) < best:
                 best, out["predictor"], kept = bits, mode, rest
-    if "predictor" in out:
-        image = kept
-    c = image.ravel().view(np.uint8).reshape(-1, 4)
-    green, red, blue = (np.ascontiguousarray(c[:, i]) for i in (1, 2, 0))
-    cross = tuple(slope if share > PROMISE else 0 for slope, share in (_told(green, red), _told(green, blue)))
+    cross = _cross(webp._channels(kept)[..., [2, 1, 0, 3]] if "predictor" in out else pixels)
     if any(cross):
+        image = kept if "predictor" in out else webp._packed(pixels[..., [2, 1, 0, 3]])
         best = estimated(image) if best is None else best
         table = np.full((webp._blocks(image.shape[0], 9), 1), (cross[0] & 255) | (cross[1] & 255) << 8, np.uint32)
         if estimated(webp.cross_colour(image, table, 9, False)) + TABLE < best:
-            out["cross"] = (*cross, 0)
+            out["cross"] = cross
     return out
 
 
@@ -77,9 +78,11 @@ def image(payload: bytes) -> bytes:
     pays = transforms(four)
     if again or pays:
         return webp.encode(four, int(np.clip(np.log2(ordered.size) - 3, 1, 10)), bits=9, **pays)
-    one = np.zeros((len(four), UNIT, 4), np.uint8)
-    one[..., 1], one[..., 3] = four.reshape(-1, UNIT), 255
-    return webp.encode(one, 0, palette=np.count_nonzero(np.bincount(one[..., 1].ravel())) <= 16, shortest=8)
+    green = four.reshape(-1, UNIT)
+    one = np.zeros((*green.shape, 4), np.uint8)
+    one[..., 1] = green
+    one[..., 3] = 255
+    return webp.encode(one, 0, palette=np.count_nonzero(np.bincount(green.ravel())) <= 16, shortest=8)
 
 
 def store(data: bytes) -> bytes:

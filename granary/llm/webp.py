@@ -687,32 +687,40 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 #: Pixels of the longest back-reference.
 LONGEST = 4096
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _matches(flat: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
+@lru_cache(maxsize=1)
+def _prefixes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _prefix gives for all lengths."""
+    return _prefix(np.maximum(np.arange(LONGEST + 1), 1))
+
+
+def _matches(flat: np.ndarray, shortest: int, alone: bool) -> list[tuple[int, int, int]]:
     """Back-references (place, length, distance) by which an image repeats itself: each goes to the last place with the same first pixels."""
     if len(flat) <= shortest:
         return []
-    rest = flat & np.uint32(0xFFFF00FF)
-    width = 1 if (rest == rest[0]).all() else 4  # of one channel, bytes do
+    width = 1 if alone else 4  # of one channel, bytes do
     raw = (flat >> np.uint32(8)).astype(np.uint8).tobytes() if width == 1 else flat.tobytes()
     shortest = max(shortest, 8 // width)
     count = len(flat) - shortest + 1
     if count < 2:
         return []
-    # Eight bytes from each pixel on, and the last eight of the shortest reference.
-    key = np.ndarray((count,), "<u8", raw, 0, (width,)).copy()
+    # Eight bytes from each pixel on, and the last eight of the shortest reference, mixed; the place in the lowest bits.
+    key = np.ndarray((count,), "<u8", raw, 0, (width,)) * MIX
     if shortest * width > 8:
-        key = key * np.uint64(0x9E3779B97F4A7C15) + np.ndarray((count,), "<u8", raw, shortest * width - 8, (width,))
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    before = np.full(len(key), -1)
-    before[order[same + 1]] = order[same]
-    places = np.flatnonzero(before >= 0)
-    if not len(places):
+        key = (key ^ np.ndarray((count,), "<u8", raw, shortest * width - 8, (width,))) * MIX
+    low = np.uint64(count.bit_length())
+    key = (key >> low << low) | np.arange(count, dtype=np.uint64)
+    key.sort()
+    same = ((key[1:] ^ key[:-1]) >> low == 0).nonzero()[0]
+    if not len(same):
         return []
+    place = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    later, earlier = place[same + 1], place[same]
+    order = later.argsort()
     out, at, number = [], 0, int.from_bytes
-    for i, j in zip(places.tolist(), before[places].tolist(), strict=True):
+    for i, j in zip(later[order].tolist(), earlier[order].tolist(), strict=True):
         if i < at:
             continue
         # Equal bytes from both places on: the lowest bit in which numbers made of them differ tells how many.
@@ -755,58 +763,70 @@ def _near(width: int) -> dict[int, int]:
 
 def _write_image(w: Writer, pixels: np.ndarray, cache_bits: int, main: bool, shortest: int = 3) -> None:
     flat, width = np.ascontiguousarray(pixels, np.uint32).ravel(), pixels.shape[1]
-    found = np.array(_matches(flat, shortest), np.int64).reshape(-1, 3)
+    rest = flat & np.uint32(0xFFFF00FF)
+    alone = bool((rest == rest[0]).all())  # all but green is the same everywhere
+    found = np.array(_matches(flat, shortest, alone), np.int64).reshape(-1, 3)
     covered = np.zeros(len(flat), bool)
     for i, n in found[:, :2].tolist():
         covered[i : i + n] = True
     single = (~covered).nonzero()[0]
-    # Symbols in order of place: pixels or places in the cache, and back-references.
-    order = np.concatenate([single, found[:, 0]]).argsort(kind="stable")
     px = flat[single].astype(np.int64)
-    size, symbol, after = _prefix(found[:, 1])
-    near = _near(width)
-    far = np.array([near.get(d, d + 120) for d in found[:, 2].tolist()], np.int64)
-    dist, more, bits = _prefix(far)
-    green = np.concatenate([(px >> 8) & 255, 256 + size])
-    is_pixel = np.arange(len(green)) < len(single)
+    green, pure = (px >> 8) & 255, slice(None)
     if cache_bits:
         slot, hit = _cached(flat, cache_bits)
         own = hit[single]
-        green[: len(single)][own] = 280 + slot[single][own]
-        is_pixel[: len(single)] = ~own
-    pure = is_pixel[: len(single)]
-    channels = [(px >> s) & 255 for s in (16, 0, 24)]
-    counts = [np.bincount(green, minlength=280 + ((1 << cache_bits) if cache_bits else 0))]
-    counts += [np.bincount(c[pure] if cache_bits else c, minlength=256) for c in channels] + [np.bincount(dist, minlength=40)]
+        green[own] = 280 + slot[single][own]
+        pure = ~own
+    counts = np.bincount(green, minlength=280 + ((1 << cache_bits) if cache_bits else 0))
+    if len(found):
+        near = _near(width)
+        size, symbol, after = (x[found[:, 1]] for x in _prefixes())
+        dist, more, bits = _prefix(np.array([near.get(d, d + 120) for d in found[:, 2].tolist()], np.int64))
+        counts[256:280] = np.bincount(size, minlength=24)
     w.bits(bool(cache_bits), 1)
     if cache_bits:
         w.bits(cache_bits, 4)
     if main:
         w.bits(0, 1)
-    tables = []
-    for c in counts:
-        used = c.nonzero()[0]
-        if len(used) < 2 and (not len(used) or used[0] < 256):
-            w.few += [(1, 1), (0, 1), (1, 1), (int(used[0]) if len(used) else 0, 8)]
-            tables.append(_NONE)
+    # The bits of a symbol come one after another: green, red, blue and alpha; or a length, its bits, a distance and its bits.
+    table = _write_code(w, counts)
+    values, sizes = table[0][green], table[1][green]
+    for shift in (16, 0, 24):
+        if alone:
+            w.few += _few(int(rest[0]) >> shift & 255)
             continue
-        lengths = code_lengths(c)
-        if np.count_nonzero(lengths) == 1 and np.flatnonzero(lengths)[0] > 255:
-            lengths[0] = 1  # a second symbol, for a code whose only one has no short form
-        _write_lengths(w, lengths)
-        tables.append(_codes(lengths))
-    # Four fields for each symbol: green; then red, blue and alpha, or further bits, a distance and its bits.
-    values, sizes = np.zeros((len(green), 4), np.int64), np.zeros((len(green), 4), np.int64)
-    values[:, 0], sizes[:, 0] = tables[0][0][green], tables[0][1][green]
-    for k, c in enumerate(channels, 1):
-        if tables[k] is not _NONE:
-            values[: len(single), k] = np.where(pure, tables[k][0][c], 0)
-            sizes[: len(single), k] = np.where(pure, tables[k][1][c], 0)
-    values[len(single) :, 1:] = np.stack([symbol, tables[4][0][dist], more], 1)
-    sizes[len(single) :, 1:] = np.stack([after, tables[4][1][dist], bits], 1)
-    values, sizes = values[order].ravel(), sizes[order].ravel()
-    some = sizes.nonzero()[0]
-    w.many(values[some], sizes[some])
+        c = (px[pure] >> shift) & 255
+        own = _write_code(w, np.bincount(c, minlength=256))
+        values[pure] |= own[0][c] << sizes[pure]
+        sizes[pure] += own[1][c]
+    if not len(found):
+        w.few += _few(0)
+        w.many(values, sizes)
+        return
+    own = _write_code(w, np.bincount(dist, minlength=40))
+    far, used = table[0][256 + size], table[1][256 + size]
+    for value, n in ((symbol, after), (own[0][dist], own[1][dist]), (more, bits)):
+        far, used = far | value << used, used + n
+    at = np.searchsorted(single, found[:, 0])
+    w.many(np.insert(values, at, far), np.insert(sizes, at, used))
+
+
+def _few(symbol: int) -> list[tuple[int, int]]:
+    """What is written of a code of one symbol."""
+    return [(1, 1), (0, 1), (1, 1), (symbol, 8)]
+
+
+def _write_code(w: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a code for symbols by their counts, and give the codes and their sizes."""
+    used = counts.nonzero()[0]
+    if len(used) < 2 and (not len(used) or used[0] < 256):
+        w.few += _few(int(used[0]) if len(used) else 0)
+        return _NONE
+    lengths = code_lengths(counts)
+    if len(used) == 1:
+        lengths[0] = 1  # a second symbol, for a code whose only one has no short form
+    _write_lengths(w, lengths)
+    return _codes(lengths)
 
 
 def encode(pixels: np.ndarray, cache_bits: int = 6, predictor: int | None = None, cross: tuple[int, int, int] | None = None, green: bool = False, palette: bool = False, bits: int = 3, shortest: int = 3) -> bytes:
