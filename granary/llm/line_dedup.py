@@ -104,7 +104,8 @@ def repeated_runs(df: DataFrame, words: int = WORDS) -> DataFrame:
     shared = selected(found).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     candidates = common.materialize(_verifiable(found.join(shared, "h", "left_semi"), lines), "candidates")
     place = F.struct(*KEY, "from")
-    first = candidates.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # Written, so that the join has a shuffle of its own, whose large partitions adaptive execution can split.
+    first = common.materialize(candidates.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first", narrow=True)
     later = candidates.join(first, ["k1", "k2"]).where(place != F.col("first"))
     # Windows that overlap become one run.
     order = Window.partitionBy(*KEY).orderBy("from", "to")
