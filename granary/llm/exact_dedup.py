@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from granary.llm import common
 
-#: Characters of a block.
-BLOCK = 4096
+#: Characters of a block, and of its begin that tells its range in sorted order.
+BLOCK, BEGIN = 4096, 64
 
 
 def _numbered(distinct: DataFrame, by: list[str], label: str) -> DataFrame:
@@ -24,7 +24,9 @@ def _numbered(distinct: DataFrame, by: list[str], label: str) -> DataFrame:
 
     Partitions are ranges; a row's number is its place in its partition and the rows of the ranges before.
     """
-    rows = distinct.sort(*by).withColumn("at", F.monotonically_increasing_id())
+    # Ranges of contents are cut by how they begin: their bounds are sampled to the driver, where whole blocks would be too much.
+    ranges = [F.substring(c, 1, BEGIN) if c == "content" else F.col(c) for c in by]
+    rows = distinct.repartitionByRange(*ranges).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
     placed = common.materialize(rows.select([c for c in rows.columns if c != "content"]), label)
     # The upper bits of `at` number the partition. One row for each range goes through one task.
     part = F.shiftright("at", 33)

@@ -48,7 +48,7 @@ def test_block_names_are_sorted(spark):
     """Names are ranks in sorted order, whatever the layout."""
     from granary.llm import exact_dedup as m
 
-    blocks = sorted({f"{i * 7919 % 1000:04}" for i in range(500)})
+    blocks = sorted({f"{i * 7919 % 1000:04}" for i in range(500)} | {"0500" + "x" * 100 + str(i) for i in range(50)} | {"é" * i for i in range(70)})
     df = spark.createDataFrame([(b, i) for i, b in enumerate(blocks)], "content string, want long").repartition(7)
     for parts in (1, 3):
         assert all(r.name == r.want for r in m._numbered(df.repartition(parts).withColumn("key", F.col("content")), ["content"], "names").collect())
