@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from granary.llm import common
 
-#: Known words at most.
-KEPT = 150_000
+#: Known words, and characters and bytes that they, their ids and their bytes take, beyond which those that weren't met again go.
+KEPT, HELD = 400_000, 16_000_000
 #: Rows that a recursive query may make, over all rounds.
 ROWS = 1_000_000
 #: A position takes this many bits of a merge's sort key.
@@ -114,6 +114,9 @@ class Encoder:
         #: space; and of words that follow none.
         self.spaced_ids: dict[str, str] = {}
         self.spaced_bytes: dict[str, bytes] = {}
+        #: Of these, what a later call met again.
+        self.again: set[str] = set()
+        self.held = 0
         self.plain_ids: dict[str, str] = {}
         self.plain_bytes: dict[str, bytes] = {}
 
@@ -137,8 +140,22 @@ class Encoder:
 
     def forget(self) -> None:
         """Empty the tables of known words."""
-        for known in (self.spaced_ids, self.spaced_bytes, self.plain_ids, self.plain_bytes):
+        for known in (self.spaced_ids, self.spaced_bytes, self.again, self.plain_ids, self.plain_bytes):
             known.clear()
+        self.held = 0
+
+    def thin(self) -> None:
+        """If the tables of known words are full, keep what was met again since the last time, half of what they may hold at most."""
+        if len(self.spaced_ids) <= KEPT and len(self.plain_ids) <= KEPT // 4 and self.held <= HELD:
+            return
+        ids, raw, again = self.spaced_ids, self.spaced_bytes, self.again
+        self.spaced_ids, self.spaced_bytes, self.again = {}, {}, set()
+        self.forget()
+        for w in again:
+            if len(self.spaced_ids) >= KEPT // 2 or self.held > HELD // 2:
+                break
+            self.spaced_ids[w], self.spaced_bytes[w] = ids[w], raw[w]
+            self.held += len(w) + len(ids[w]) + len(raw[w])
 
     def ids_of(self, word: str) -> str:
         return self.spaced_ids[word[1:]] if word[0] == " " else self.plain_ids[word]
@@ -147,6 +164,7 @@ class Encoder:
         return self.spaced_bytes[word[1:]] if word[0] == " " else self.plain_bytes[word]
 
     def keep(self, words: list[str], ids: list[str], raw: list[bytes]) -> None:
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + sum(map(len, raw))
         for w, i, r in zip(words, ids, raw, strict=True):
             if w[0] == " ":
                 w = w[1:]
@@ -240,18 +258,23 @@ class Encoder:
         whole = self.whole
         alone = [w for w in words if w in whole]
         self.keep(alone, [str(whole[w]) for w in alone], [w.encode() for w in alone])
-        rest, long = [], []
-        for w in words:
-            if w not in whole:
-                raw = w.encode("utf-8", "surrogatepass")
-                (rest if len(raw) <= PIECE else long).append((w, raw))
-        for part in _steps(rest, lambda x: len(x[1])):
-            rows, size = self.start(pa.array([raw for _, raw in part], pa.binary()))
-            got = self.ask(ENCODE, rows, int(size.max()))
-            self.keep([w for w, _ in part], got["ids"].to_pylist(), got["decoded"].to_pylist())
-        for w, raw in long:
-            ids = self.merge_long(raw)
-            self.keep([w], [",".join(map(str, ids.tolist()))], self.decode([ids.tolist()]))
+        rest = [w for w in words if w not in whole]
+        raw = [w.encode("utf-8", "surrogatepass") for w in rest]
+        # By length: a query makes as many rounds as its longest word needs.
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(size, kind="stable")
+        size = size[order]
+        short, total, begin = int(np.searchsorted(size, PIECE, "right")), np.cumsum(size * (size + 1) // 2), 0
+        while begin < short:
+            end = min(short, max(begin + 1, int(np.searchsorted(total, ROWS + (total[begin - 1] if begin else 0), "right"))))
+            part = order[begin:end].tolist()
+            rows, sizes = self.start(pa.array([raw[i] for i in part], pa.binary()))
+            got = self.ask(ENCODE, rows, int(sizes.max()))
+            self.keep([rest[i] for i in part], got["ids"].to_pylist(), got["decoded"].to_pylist())
+            begin = end
+        for i in order[short:].tolist():
+            ids = self.merge_long(raw[i])
+            self.keep([rest[i]], [",".join(map(str, ids.tolist()))], self.decode([ids.tolist()]))
 
     def parts(self, text: str) -> tuple[list[str], bool]:
         """Pieces of a text that encode apart from each other; whether each but the first has lost a space in front."""
@@ -261,11 +284,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids (decimal, joined by commas) and decoded bytes of each text."""
+        self.thin()
         spaced_ids, spaced_bytes = self.spaced_ids, self.spaced_bytes
-        if len(spaced_ids) > KEPT or len(self.plain_ids) > KEPT // 4:
-            self.forget()
         split = [self.parts(t) for t in texts]
-        new = set().union(*[parts[1:] for parts, cut in split if cut]).difference(spaced_ids)
+        every = set().union(*[parts[1:] for parts, cut in split if cut])
+        new = every.difference(spaced_ids)
+        self.again |= every - new
         #: Pieces of several words, with the space that they had lost; plain letters are one word.
         findall = self.pattern.findall
         single, several = set(), {}
@@ -280,8 +304,9 @@ class Encoder:
         self.learn([w for w in wanted if (w[1:] not in spaced_ids if w[0] == " " else w not in plain_ids)])
         for p, words in several.items():
             if len(words) > 1:
-                spaced_ids[p] = ",".join([self.ids_of(w) for w in words])
-                spaced_bytes[p] = b"".join([self.bytes_of(w) for w in words])
+                spaced_ids[p] = ids = ",".join([self.ids_of(w) for w in words])
+                spaced_bytes[p] = raw = b"".join([self.bytes_of(w) for w in words])
+                self.held += len(p) + len(ids) + len(raw)
         out = []
         for parts, cut in split:
             first = heads[parts[0]] if cut else parts
@@ -294,11 +319,11 @@ class Encoder:
         return out
 
 
-def _steps(words: list, size=len) -> Iterator[list]:
+def _steps(words: list[bytes]) -> Iterator[list[bytes]]:
     """words in parts of which none makes more rows in a recursive query than ROWS, but for one word alone."""
     part, rows = [], 0
     for w in words:
-        own = size(w) * (size(w) + 1) // 2
+        own = len(w) * (len(w) + 1) // 2
         if part and rows + own > ROWS:
             yield part
             part, rows = [], 0

@@ -112,6 +112,34 @@ def test_byte_bpe_of_long_words_and_many_words():
     e.close()
 
 
+def test_byte_bpe_learns_frequent_words_once(monkeypatch):
+    """Full tables of known words lose those that didn't come again, and no ids change; their bytes are bounded too."""
+    import public_tokenizers as p
+
+    from granary.llm import byte_bpe as m
+
+    library, pattern = library_bpe()
+    e = m.Encoder(p.path("byte_bpe_multi_50k.tiktoken"), pattern)
+    e.open()
+    learnt, learn = [], e.learn
+    monkeypatch.setattr(m, "KEPT", 120)
+    monkeypatch.setattr(e, "learn", lambda words: (learnt.extend(words), learn(words)))
+
+    def check(text):
+        ids = library.encode_ordinary(text)
+        assert e.encode([text]) == [(len(ids), ",".join(map(str, ids)), text.encode())]
+        return max(len(e.spaced_ids), len(e.plain_ids))
+
+    often = [f"zzq{a}vvk" for a in "abcdefghij"]
+    sizes = [check(" ".join(["x", *often, *(f"ww{chr(97 + i)}qx{chr(97 + j)}zk" for j in range(25)), "don't, and  so"][: 36 + i % 2])) for i in range(20)]
+    assert max(sizes) <= 120 + 40 and all(learnt.count(" " + w) == 1 for w in often)
+    monkeypatch.setattr(m, "HELD", 5_000)
+    sizes = [check(" ".join(["x", *often, *(f"qz{chr(97 + i)}{chr(97 + j)}" * 20 for j in range(10))])) for i in range(8)]
+    assert e.held < 5_000 + 10 * 600 and max(sizes[1:]) <= 60
+    e.close()
+    assert not e.spaced_ids and not e.again and not e.held
+
+
 @pytest.mark.parametrize("piece", [4, 8, 16])
 def test_byte_bpe_pieces_double(piece, monkeypatch):
     """Pieces too short for a cut, and words that need more rounds than one query has."""
