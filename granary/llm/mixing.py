@@ -46,8 +46,8 @@ PULL, MOST = 1e-3, 20.0
 ROUNDS, CLOSE = 60, 0.01
 #: Domains at most: bounds the broadcast matrix.
 DOMAINS = 64
-#: Words of a batch that are looked up at once are split from this many texts.
-TEXTS = 250
+#: Words of a batch that are looked up at once are split from this many texts, and from no other text beyond so many bytes.
+TEXTS, BYTES = 250, 2 << 20
 
 
 class _Codes(dict):
@@ -116,8 +116,8 @@ def fit_domains(labelled: DataFrame, domains: list[str]) -> np.ndarray:
                     continue
                 texts = batch.column(0).filter(pc.equal(batch.column(1), name))
                 total = np.zeros(FEATURES, np.int64)
-                for i in range(0, len(texts), TEXTS):
-                    found, n = np.unique(_features(texts.slice(i, TEXTS), codes)[1], return_counts=True)
+                for part in common.pieces([pa.RecordBatch.from_arrays([texts], names=["c0"])], 0, TEXTS, BYTES):
+                    found, n = np.unique(_features(part.column(0), codes)[1], return_counts=True)
                     total[found] += n
                 at = np.append(np.flatnonzero(total), FEATURES)
                 n = np.append(total, len(texts))[at]
@@ -156,19 +156,17 @@ def posteriors(df: DataFrame, model: np.ndarray, text: str = "text") -> DataFram
     def run(batches):
         table, codes = shared.value, _Codes()
         live = table[:-2].any(1)
-        for whole in batches:
-            for i in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(i, TEXTS)
-                n = batch.num_rows
-                rows, found, tokens = _features(batch.column(at), codes)
-                size = np.bincount(rows[found < BUCKETS + ENDS], minlength=n)
-                rows, found = rows[live[found]], found[live[found]]
-                p = np.stack([np.bincount(rows, table[found, k], n) for k in range(table.shape[1])], 1).astype(float)  # without rows they would be integers
-                p += size[:, None] * table[-2] + table[-1]
-                p = np.exp(p - p.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * p.shape[1] + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), flat], names=[f"c{j}" for j in range(batch.num_columns + 2)])
+        for batch in common.pieces(batches, at, TEXTS, BYTES):
+            n = batch.num_rows
+            rows, found, tokens = _features(batch.column(at), codes)
+            size = np.bincount(rows[found < BUCKETS + ENDS], minlength=n)
+            rows, found = rows[live[found]], found[live[found]]
+            p = np.stack([np.bincount(rows, table[found, k], n) for k in range(table.shape[1])], 1).astype(float)  # without rows they would be integers
+            p += size[:, None] * table[-2] + table[-1]
+            p = np.exp(p - p.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * p.shape[1] + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), flat], names=[f"c{j}" for j in range(batch.num_columns + 2)])
 
     return common.map_arrow(df, run, "tokens long, p array<double>")
 
@@ -247,7 +245,7 @@ def mix(df: DataFrame, labelled: DataFrame, targets: dict[str, float], text: str
     times; it is `most` at most (infinite: no bound). A domain that no document leans to
     can't reach its target; rates then come as near as they can, and a warning is
     logged with the shares reached. Null and empty texts have no words: their rate follows
-    from the priors. Equal texts have equal rates. Texts may be long: a batch is split by rows, a text
+    from the priors. Equal texts have equal rates. Texts may be long: a batch is split by rows and bytes, a text
     is in memory whole. keep_text: without it the text column is left out, and isn't written between the passes.
     Columns of df with the new names are replaced (but a column of token counts by itself);
     rows and other columns stay. Empty tables give empty ones.

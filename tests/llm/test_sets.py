@@ -420,6 +420,29 @@ def test_rates_are_those_of_the_least_squares_problem(spark, most):
     assert np.allclose(reached, (p * (t * own)[:, None]).sum(0) / t.sum())
 
 
+def test_mixing_looks_up_few_bytes_at_once(spark, monkeypatch):
+    """Posteriors of a batch of long texts are made by pieces: no text is added to one that has its bytes; they are as those of each text alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    from granary.llm import mixing as m
+
+    runs, sizes, features = [], [], m._features
+    monkeypatch.setattr(m.common, "map_arrow", lambda df, run, *a, **k: runs.append(run))
+    monkeypatch.setattr(m, "_features", lambda texts, codes: (sizes.append([len(t or "") for t in texts.to_pylist()]), features(texts, codes))[1])
+    model = np.random.default_rng(1).normal(size=(m.FEATURES + 2, 2))
+    texts = ["b " * 1_500_000, "a few words " * 50_000, None, *["short one"] * 600, "", "Words, " * 100_000]
+    m.posteriors(spark.createDataFrame([("x",)], "text string"), model)
+    (run,) = runs
+    got = [r for b in run([pa.RecordBatch.from_arrays([pa.array(texts)], names=["c0"])]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    alone = [r for t in dict.fromkeys(texts) for b in run([pa.RecordBatch.from_arrays([pa.array([t], pa.string())], names=["c0"])]) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert [g[0] for g in got] == texts
+    by_text = {t: (n, p) for t, n, p in alone}
+    for t, n, p in got:
+        assert n == by_text[t][0] and np.allclose(p, by_text[t][1])
+    assert all(len(s) <= m.TEXTS and sum(s[:-1]) < (2 << 20) for s in sizes)
+
+
 def test_mixing_keeps_columns_with_clashing_names(spark):
     from granary.llm.mixing import mix, take
 
