@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 
 from granary.llm import common
 
-#: Known words, and characters and bytes that they, their ids and their bytes take, beyond which those that weren't met again go.
-KEPT, HELD = 400_000, 16_000_000
-#: Rows that a recursive query may make, over all rounds.
-ROWS = 1_000_000
+#: Known words, and characters that they and their ids take, beyond which those that weren't met again go.
+KEPT, HELD = 300_000, 10_000_000
+#: Rows that a recursive query may make, over all rounds, and queries after which the database is opened anew, as its memory grows with them.
+ROWS, QUERIES = 250_000, 32
 #: A position takes this many bits of a merge's sort key.
 POSITION_BITS = 32
 #: Longer words (in bytes) are encoded in pieces of that size.
@@ -43,7 +43,7 @@ PIECE = 256
 #: Below this character, letters are the same ones in all versions of Unicode that matter.
 LATIN_END = "\u0250"
 #: Texts looked up at once, and characters of them beyond which no other text is added.
-TEXTS, CHARACTERS = 500, 4_000_000
+TEXTS, CHARACTERS = 250, 2_000_000
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Rows hold a token, the one after it (-1: none) and their place; a merge at
@@ -106,19 +106,19 @@ class Encoder:
         self.tables["vocabulary"] = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [w.hex() for w in self.ranks]})
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int32)
         self.sizes[list(self.ranks.values())] = [len(w) for w in self.ranks]
-        self.db = None
+        self.db, self.asked = None, 0
         #: Words that are tokens as they are: the library doesn't merge them.
         self.whole = {text: m for w, m in self.ranks.items() if (text := w.decode("utf-8", "replace")).encode() == w}
         del self.ranks
-        #: Ids (decimal, joined by commas) and bytes of what follows a space in a text, by that without the
+        #: Ids (decimal, joined by commas) of what follows a space in a text, by that without the
         #: space; and of words that follow none.
         self.spaced_ids: dict[str, str] = {}
-        self.spaced_bytes: dict[str, bytes] = {}
         #: Of these, what a later call met again.
         self.again: set[str] = set()
         self.held = 0
         self.plain_ids: dict[str, str] = {}
-        self.plain_bytes: dict[str, bytes] = {}
+        #: Bytes decoded from the ids of a word, where they aren't the bytes of the word: else these needn't be held again.
+        self.other: dict[str, bytes] = {}
 
     def open(self) -> None:
         """Load the tables into a database of this process."""
@@ -131,16 +131,20 @@ class Encoder:
                 self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
                 self.db.unregister("rows")
 
+    def shut(self) -> None:
+        """Give the database's memory back."""
+        if self.db is not None:
+            self.db.close()
+        self.db, self.asked = None, 0
+
     def close(self) -> None:
         """A worker that waits for its next task holds no database and no words."""
         self.forget()
-        if self.db is not None:
-            self.db.close()
-            self.db = None
+        self.shut()
 
     def forget(self) -> None:
         """Empty the tables of known words."""
-        for known in (self.spaced_ids, self.spaced_bytes, self.again, self.plain_ids, self.plain_bytes):
+        for known in (self.spaced_ids, self.again, self.plain_ids, self.other):
             known.clear()
         self.held = 0
 
@@ -148,29 +152,36 @@ class Encoder:
         """If the tables of known words are full, keep what was met again since the last time, half of what they may hold at most."""
         if len(self.spaced_ids) <= KEPT and len(self.plain_ids) <= KEPT // 4 and self.held <= HELD:
             return
-        ids, raw, again = self.spaced_ids, self.spaced_bytes, self.again
-        self.spaced_ids, self.spaced_bytes, self.again = {}, {}, set()
+        ids, again, other = self.spaced_ids, self.again, self.other
+        self.spaced_ids, self.again, self.other = {}, set(), {}
         self.forget()
         for w in again:
             if len(self.spaced_ids) >= KEPT // 2 or self.held > HELD // 2:
                 break
-            self.spaced_ids[w], self.spaced_bytes[w] = ids[w], raw[w]
-            self.held += len(w) + len(ids[w]) + len(raw[w])
+            self.hold(" " + w, ids[w], other.get(" " + w))
 
     def ids_of(self, word: str) -> str:
         return self.spaced_ids[word[1:]] if word[0] == " " else self.plain_ids[word]
 
-    def bytes_of(self, word: str) -> bytes:
-        return self.spaced_bytes[word[1:]] if word[0] == " " else self.plain_bytes[word]
-
-    def keep(self, words: list[str], ids: list[str], raw: list[bytes]) -> None:
-        self.held += sum(map(len, words)) + sum(map(len, ids)) + sum(map(len, raw))
-        for w, i, r in zip(words, ids, raw, strict=True):
-            if w[0] == " ":
-                w = w[1:]
-                self.spaced_ids[w], self.spaced_bytes[w] = i, r
-            else:
-                self.plain_ids[w], self.plain_bytes[w] = i, r
+    def bytes_of(self, words: list[str]) -> bytes:
+        """Bytes decoded from the ids of known words, one after another."""
+        if self.other:
+            return b"".join([self.other[w] if w in self.other else w.encode("utf-8", "surrogatepass") for w in words])
+        return "".join(words).encode("utf-8", "surrogatepass")
+
+    def hold(self, word: str, ids: str, other: bytes | None = None) -> None:
+        self.held += len(word) + len(ids)
+        if word[0] == " ":
+            self.spaced_ids[word[1:]] = ids
+        else:
+            self.plain_ids[word] = ids
+        if other is not None:
+            self.other[word] = other
+            self.held += len(word) + len(other)
+
+    def keep(self, words: list[str], raw: list[bytes], ids: list[str], decoded: list[bytes]) -> None:
+        for w, r, i, d in zip(words, raw, ids, decoded, strict=True):
+            self.hold(w, i, None if d == r else d)
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -194,6 +205,11 @@ class Encoder:
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": (np.arange(len(t)) - np.repeat(end - size, size)).astype(np.int32), "t": t, "u": u}), size
 
     def ask(self, query: str, rows: pa.Table, rounds: int) -> pa.Table:
+        if self.asked >= QUERIES:
+            self.shut()
+            common.release()
+        self.open()
+        self.asked += 1
         self.db.register("start", rows)
         try:
             return self.db.sql(query, params={"rounds": rounds}).to_arrow_table()
@@ -257,7 +273,8 @@ class Encoder:
         """Encode words that aren't known, and decode their ids."""
         whole = self.whole
         alone = [w for w in words if w in whole]
-        self.keep(alone, [str(whole[w]) for w in alone], [w.encode() for w in alone])
+        for w in alone:
+            self.hold(w, str(whole[w]))
         rest = [w for w in words if w not in whole]
         raw = [w.encode("utf-8", "surrogatepass") for w in rest]
         # By length: a query makes as many rounds as its longest word needs.
@@ -270,11 +287,11 @@ class Encoder:
             part = order[begin:end].tolist()
             rows, sizes = self.start(pa.array([raw[i] for i in part], pa.binary()))
             got = self.ask(ENCODE, rows, int(sizes.max()))
-            self.keep([rest[i] for i in part], got["ids"].to_pylist(), got["decoded"].to_pylist())
+            self.keep([rest[i] for i in part], [raw[i] for i in part], got["ids"].to_pylist(), got["decoded"].to_pylist())
             begin = end
         for i in order[short:].tolist():
             ids = self.merge_long(raw[i])
-            self.keep([rest[i]], [",".join(map(str, ids.tolist()))], self.decode([ids.tolist()]))
+            self.keep([rest[i]], [raw[i]], [",".join(map(str, ids.tolist()))], self.decode([ids.tolist()]))
 
     def parts(self, text: str) -> tuple[list[str], bool]:
         """Pieces of a text that encode apart from each other; whether each but the first has lost a space in front."""
@@ -285,7 +302,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
         """Number of ids, ids (decimal, joined by commas) and decoded bytes of each text."""
         self.thin()
-        spaced_ids, spaced_bytes = self.spaced_ids, self.spaced_bytes
+        spaced_ids = self.spaced_ids
         split = [self.parts(t) for t in texts]
         every = set().union(*[parts[1:] for parts, cut in split if cut])
         new = every.difference(spaced_ids)
@@ -304,18 +321,17 @@ class Encoder:
         self.learn([w for w in wanted if (w[1:] not in spaced_ids if w[0] == " " else w not in plain_ids)])
         for p, words in several.items():
             if len(words) > 1:
-                spaced_ids[p] = ids = ",".join([self.ids_of(w) for w in words])
-                spaced_bytes[p] = raw = b"".join([self.bytes_of(w) for w in words])
-                self.held += len(p) + len(ids) + len(raw)
+                raw, decoded = (" " + p).encode("utf-8", "surrogatepass"), self.bytes_of(words)
+                self.hold(" " + p, ",".join([self.ids_of(w) for w in words]), None if decoded == raw else decoded)
         out = []
         for parts, cut in split:
             first = heads[parts[0]] if cut else parts
-            own, data = [self.ids_of(w) for w in first], [self.bytes_of(w) for w in first]
+            own = [self.ids_of(w) for w in first]
             if cut:
                 own += map(spaced_ids.__getitem__, parts[1:])
-                data += map(spaced_bytes.__getitem__, parts[1:])
+                first = [*first, *[" " + p for p in parts[1:]]]
             text = ",".join(own)
-            out.append((text.count(",") + 1 if own else 0, text, b"".join(data)))
+            out.append((text.count(",") + 1 if own else 0, text, self.bytes_of(first)))
         return out
 
 

@@ -140,6 +140,46 @@ def test_byte_bpe_learns_frequent_words_once(monkeypatch):
     assert not e.spaced_ids and not e.again and not e.held
 
 
+def test_byte_bpe_holds_a_word_once_and_opens_its_database_anew(monkeypatch):
+    """Known words take few bytes each; the database, whose memory grows with its queries, is opened anew after some. Decoded bytes are those of the ids."""
+    import tracemalloc
+
+    import duckdb
+    import pyarrow as pa
+    import public_tokenizers as p
+
+    from granary.llm import byte_bpe as m
+
+    library, pattern = library_bpe()
+    e = m.Encoder(p.path("byte_bpe_multi_50k.tiktoken"), pattern)
+    opened, connect = [], duckdb.connect
+    monkeypatch.setattr(duckdb, "connect", lambda *a, **k: (opened.append(1), connect(*a, **k))[1])
+    words = [f"zq{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}vvk" for i in range(10_000)]
+    text = "x " + " ".join(words)
+    ids = library.encode_ordinary(text)
+    e.open()
+    tracemalloc.start()
+    assert e.encode([text]) == [(len(ids), ",".join(map(str, ids)), text.encode())]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(e.spaced_ids) == len(words) and held < 230 * len(words)
+    monkeypatch.setattr(m, "ROWS", 2_000)
+    e.forget()
+    assert e.encode([text])[0] == (len(ids), ",".join(map(str, ids)), text.encode())
+    assert len(opened) > 2
+    e.close()
+    # A vocabulary that decodes to other bytes than it encodes: these bytes are what comes out, of known words too, alone or in pieces of several.
+    told = e.tables["vocabulary"]
+    odd = int(ids[-1])
+    e.tables["vocabulary"] = pa.table({"id": told["id"], "bytes": ["21" if i == odd else b for i, b in zip(told["id"].to_pylist(), told["bytes"].to_pylist(), strict=True)]})
+    e.open()
+    own = {i: bytes.fromhex(b) for i, b in zip(*(e.tables["vocabulary"][c].to_pylist() for c in ("id", "bytes")), strict=True)}
+    for t in (text, text, f"{words[-1]} {words[-1]},{words[-1]}", f"{words[-1]}  {words[-1]}"):
+        ids = library.encode_ordinary(t)
+        assert e.encode([t])[0] == (len(ids), ",".join(map(str, ids)), b"".join(own[i] for i in ids))
+    e.close()
+
+
 @pytest.mark.parametrize("piece", [4, 8, 16])
 def test_byte_bpe_pieces_double(piece, monkeypatch):
     """Pieces too short for a cut, and words that need more rounds than one query has."""
