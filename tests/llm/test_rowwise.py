@@ -162,7 +162,7 @@ def test_byte_bpe_holds_a_word_once_and_opens_its_database_anew(monkeypatch):
     assert e.encode([text]) == [(len(ids), ",".join(map(str, ids)), text.encode())]
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
-    assert len(e.spaced_ids) == len(words) and held < 230 * len(words)
+    assert len(e.spaced_ids) == len(words) and held < 165 * len(words)
     monkeypatch.setattr(m, "ROWS", 2_000)
     e.forget()
     assert e.encode([text])[0] == (len(ids), ",".join(map(str, ids)), text.encode())
