@@ -2,9 +2,10 @@
 
 A partition's new words become rows of token positions. A recursive query
 joins them with the merge table and contracts the leftmost pair of the least
-rank in each word, until no word has a pair left; ordered aggregation gives
-each word's ids, and its bytes back from the ids. Words are kept in a table
-of bounded size, so a frequent word is encoded once.
+rank in each word, until no word has a pair left; what is left, in order, are
+each word's ids, and its bytes are read back from the ids. Words are kept in a
+table of bounded size, so a frequent word is encoded once; those met again are
+kept for the worker's next partition.
 
 A word of n bytes makes up to n * n / 2 rows, one for each token and round. So words
 are put together to queries by that figure, and a word of over 256 bytes is
@@ -63,12 +64,10 @@ WITH RECURSIVE step(w, pos, t, u, it) AS (
 ), last AS (SELECT w, max(it) AS it FROM step GROUP BY w)
 """
 
-#: Ids and decoded bytes of each word.
+#: Ids of each word, in their order.
 ENCODE = f"""{RECURSION}
-SELECT step.w, string_agg(CAST(t AS VARCHAR), ',' ORDER BY pos) AS ids, unhex(string_agg(bytes, '' ORDER BY pos)) AS decoded
-FROM step JOIN last ON step.w = last.w AND step.it = last.it JOIN vocabulary ON t = vocabulary.id
-GROUP BY step.w ORDER BY step.w
-"""
+SELECT step.w, t FROM step JOIN last ON step.w = last.w AND step.it = last.it ORDER BY step.w, pos
+"""
 
 #: What a word is after so many rounds.
 ADVANCE = f"""{RECURSION}
@@ -107,6 +106,9 @@ class Encoder:
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int32)
         self.sizes[list(self.ranks.values())] = [len(w) for w in self.ranks]
         self.db, self.asked = None, 0
+        self.decimal = pa.array([str(i) for i in range(len(self.sizes))])
+        #: A vocabulary's bytes one after another, and where those of an id begin and how many they are.
+        self.told, self.bytes, self.at, self.long = None, *(np.zeros(0, x) for x in (np.uint8, np.int64, np.int64))
         #: Words that are tokens as they are: the library doesn't merge them.
         self.whole = {text: m for w, m in self.ranks.items() if (text := w.decode("utf-8", "replace")).encode() == w}
         del self.ranks
@@ -130,6 +132,12 @@ class Encoder:
                 self.db.register("rows", rows)
                 self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
                 self.db.unregister("rows")
+        if self.told is not (told := self.tables["vocabulary"]):
+            long, of = pc.binary_length(told["bytes"]).to_numpy() // 2, told["id"].to_numpy()
+            self.bytes = np.frombuffer(bytes.fromhex("".join(told["bytes"].to_pylist())), np.uint8)
+            self.at, self.long = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes), np.int64)
+            self.at[of], self.long[of] = np.cumsum(long) - long, long
+            self.told = told
 
     def shut(self) -> None:
         """Give the database's memory back."""
@@ -138,10 +146,15 @@ class Encoder:
         self.db, self.asked = None, 0
 
     def close(self) -> None:
-        """A worker that waits for its next task holds no database and no words."""
+        """Hold no database and no words."""
         self.forget()
         self.shut()
 
+    def rest(self) -> None:
+        """A worker that waits for its next task holds no database, and of the words those that were met again."""
+        self.cut_down()
+        self.shut()
+
     def forget(self) -> None:
         """Empty the tables of known words."""
         for known in (self.spaced_ids, self.again, self.plain_ids, self.other):
@@ -149,9 +162,13 @@ class Encoder:
         self.held = 0
 
     def thin(self) -> None:
-        """If the tables of known words are full, keep what was met again since the last time, half of what they may hold at most."""
+        """If the tables of known words are full, cut them down."""
         if len(self.spaced_ids) <= KEPT and len(self.plain_ids) <= KEPT // 4 and self.held <= HELD:
             return
+        self.cut_down()
+
+    def cut_down(self) -> None:
+        """Of the known words that follow a space, keep what was met again since the last time, half of what the tables may hold at most."""
         ids, again, other = self.spaced_ids, self.again, self.other
         self.spaced_ids, self.again, self.other = {}, set(), {}
         self.forget()
@@ -180,8 +197,14 @@ class Encoder:
             self.held += len(word) + len(other)
 
     def keep(self, words: list[str], raw: list[bytes], ids: list[str], decoded: list[bytes]) -> None:
-        for w, r, i, d in zip(words, raw, ids, decoded, strict=True):
-            self.hold(w, i, None if d == r else d)
+        """What hold() does, for many words."""
+        self.spaced_ids.update((w[1:], i) for w, i in zip(words, ids, strict=True) if w[0] == " ")
+        self.plain_ids.update((w, i) for w, i in zip(words, ids, strict=True) if w[0] != " ")
+        self.held += sum(map(len, words)) + sum(map(len, ids))
+        if decoded != raw:
+            other = {w: d for w, r, d in zip(words, raw, decoded, strict=True) if d != r}
+            self.other |= other
+            self.held += sum(len(w) + len(d) for w, d in other.items())
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -195,6 +218,17 @@ class Encoder:
         self.db.unregister("ids")
         return [bytes.fromhex(got.get(i, "")) for i in range(len(ids))]
 
+    def read(self, got: pa.Table) -> tuple[list[str], list[bytes]]:
+        """Ids (decimal, joined by commas) of each word of rows (w, t), and the bytes decoded from them."""
+        w, t = got["w"].to_numpy(), got["t"].to_numpy()
+        begin = np.append(np.flatnonzero(np.diff(w, prepend=-1)), len(t))
+        ids = pc.binary_join(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), self.decimal.take(pa.array(t))), ",")
+        size = self.long[t]
+        end = np.append(0, np.cumsum(size))
+        own = self.bytes[np.repeat(self.at[t] - end[:-1], size) + np.arange(end[-1])]
+        decoded = pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(end[begin].astype(np.int32)), pa.py_buffer(own)])
+        return ids.to_pylist(), decoded.to_pylist()
+
     def start(self, words: pa.Array) -> tuple[pa.Table, np.ndarray]:
         """The bytes of words (binary) as rows of tokens, and how many each word has."""
         size = np.diff(np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1])
@@ -287,7 +321,7 @@ class Encoder:
             part = order[begin:end].tolist()
             rows, sizes = self.start(pa.array([raw[i] for i in part], pa.binary()))
             got = self.ask(ENCODE, rows, int(sizes.max()))
-            self.keep([rest[i] for i in part], [raw[i] for i in part], got["ids"].to_pylist(), got["decoded"].to_pylist())
+            self.keep([rest[i] for i in part], [raw[i] for i in part], *self.read(got))
             begin = end
         for i in order[short:].tolist():
             ids = self.merge_long(raw[i])
@@ -324,14 +358,15 @@ class Encoder:
                 raw, decoded = (" " + p).encode("utf-8", "surrogatepass"), self.bytes_of(words)
                 self.hold(" " + p, ",".join([self.ids_of(w) for w in words]), None if decoded == raw else decoded)
         out = []
-        for parts, cut in split:
+        for t, (parts, cut) in zip(texts, split, strict=True):
             first = heads[parts[0]] if cut else parts
-            own = [self.ids_of(w) for w in first]
+            own, decoded = [self.ids_of(w) for w in first], self.bytes_of(first)
             if cut:
                 own += map(spaced_ids.__getitem__, parts[1:])
-                first = [*first, *[" " + p for p in parts[1:]]]
+                # Where no known word decodes to other bytes than its own, the rest of the text is what its words decode to.
+                decoded += self.bytes_of([" " + p for p in parts[1:]] if self.other else [t[len(parts[0]) :]])
             text = ",".join(own)
-            out.append((text.count(",") + 1 if own else 0, text, self.bytes_of(first)))
+            out.append((text.count(",") + 1 if own else 0, text, decoded))
         return out
 
 
@@ -392,7 +427,7 @@ def bpe_encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[f"c{j}" for j in range(batch.num_columns + len(own))])
         finally:
             gc.enable()
-            e.close()
+            e.rest()
 
     return common.map_arrow(df, run, SCHEMA + ", token_ids array<int>" * ids)
 

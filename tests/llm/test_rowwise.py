@@ -180,6 +180,40 @@ def test_byte_bpe_holds_a_word_once_and_opens_its_database_anew(monkeypatch):
     e.close()
 
 
+def test_byte_bpe_keeps_frequent_words_for_the_next_partition(spark, monkeypatch):
+    """A worker's next partition doesn't encode again what the one before met twice; a resting worker holds no database and few words. No ids change."""
+    import pyarrow as pa
+    import public_tokenizers as p
+
+    from granary.llm import byte_bpe as m
+
+    library, pattern = library_bpe()
+    e = m.Encoder(p.path("byte_bpe_multi_50k.tiktoken"), pattern)
+    learnt, learn = [], e.learn
+    monkeypatch.setattr(e, "learn", lambda words: (learnt.extend(words), learn(words)))
+    monkeypatch.setattr(m, "encoder", lambda *_: e.open() or e)
+    monkeypatch.setattr(m.common, "map_arrow", lambda df, run, added: run)
+    run = m.bpe_encode(spark.createDataFrame([("",)], "text string"), "", "")
+    often, seldom = [f"zzq{a}vvk" for a in "abcdefghij"], [f"qz{a}vvk" for a in "abcdefghij"]
+
+    def partition(texts):
+        for t, row in zip(texts, [r for b in run([pa.record_batch({"c0": [t]}) for t in texts]) for r in b.to_pylist()], strict=True):
+            ids = library.encode_ordinary(t)
+            assert (row["c1"], row["c2"], row["c3"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+    partition(["x " + " ".join([*often, *seldom])])
+    for _ in range(3):
+        learnt.clear()
+        partition(["x " + " ".join(often), "y, " + " ".join(often) + " don't"])
+        assert e.db is None and len(e.spaced_ids) <= 12 and not e.plain_ids
+    assert not {" " + w for w in often} & set(learnt)
+    monkeypatch.setattr(m, "KEPT", 10)
+    partition(["x " + " ".join(often)] * 2)
+    assert len(e.spaced_ids) <= 5
+    e.close()
+    assert not e.spaced_ids
+
+
 @pytest.mark.parametrize("piece", [4, 8, 16])
 def test_byte_bpe_pieces_double(piece, monkeypatch):
     """Pieces too short for a cut, and words that need more rounds than one query has."""
